@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from . import chat, mixing
 from .quality import op7_quality
+from .simhash import op5_simhash
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op5_simhash": op5_simhash,
     "op7_quality": op7_quality,
+    "op8_chat": chat.op8_chat,
+}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+    "op8_chat": chat.ORACLE,
 }
-ORACLES: dict[str, str] = {}
