@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, lines, mixing
 from .quality import op7_quality
 from .simhash import op5_simhash
 
 QUERIES = {
+    "op1_lines": lines.op1_lines,
     "op2_mixing": mixing.op2_mixing,
     "op5_simhash": op5_simhash,
     "op7_quality": op7_quality,
     "op8_chat": chat.op8_chat,
 }
 ORACLES: dict[str, str] = {
+    "op1_lines": lines.ORACLE,
     "op2_mixing": mixing.ORACLE,
     "op8_chat": chat.ORACLE,
 }
