@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, lines, mixing
+from . import ann, bpe, chat, lines, mixing
 from .quality import op7_quality
 from .simhash import op5_simhash
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
     "op2_mixing": mixing.op2_mixing,
+    "op3_ann": ann.op3_ann,
     "op5_simhash": op5_simhash,
+    "op6_bpe": bpe.op6_bpe,
     "op7_quality": op7_quality,
     "op8_chat": chat.op8_chat,
 }
