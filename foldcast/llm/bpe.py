@@ -27,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, ship_code, written
 
-BLOCK = 2_000_000
-TYPES = {2: "<u2", 4: "<u4"}
+BLOCK = 16_000_000
 
 
 def rank_lines(path: str) -> bytes:
@@ -55,39 +55,81 @@ def held(key: str, make):
     return store[key]
 
 
-def packed(parts: list[bytes]) -> bytes:
-    """Byte strings as lengths and contents, compressed."""
-    return zlib.compress(struct.pack("<I", len(parts)) + np.array([len(x) for x in parts], "<u4").tobytes() + b"".join(parts), 1)
-
-
-def unpacked(data: bytes) -> list[bytes]:
-    data = zlib.decompress(data)
-    (n,) = struct.unpack_from("<I", data)
-    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
-    ends = ends.tolist()
-    return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
-
-
-def block_rows(block: int, ids: list, texts: list[str], pattern, buckets: int) -> list[tuple[int, int, bytes, list | None]]:
-    """Rows (block, bucket, data, ids): the stream of codes (bucket -1) and each bucket's words."""
-    found = [pattern.findall(t) for t in texts]
-    first: dict[str, int] = {}
-    for words in found:
-        for w in words:
-            if w not in first:
-                first[w] = len(first)
-    raw = [w.encode() for w in first]
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
-    order = np.argsort(bucket, kind="stable")
-    code = np.empty(len(raw), np.int64)
-    code[order] = np.arange(len(raw))
-    width = 2 if len(raw) < 65_536 else 4
-    at = np.fromiter((first[w] for words in found for w in words), np.int64, sum(map(len, found)))
-    stream = struct.pack("<BI", width, len(texts)) + np.array([len(x) for x in found], "<u4").tobytes() + code[at].astype(TYPES[width]).tobytes()
-    rows = [(block, -1, zlib.compress(stream, 1), ids)]
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
-    rows += [(block, int(bucket[order[a]]), packed([raw[i] for i in order[a:b]]), None) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return rows
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values, compressed by planes of bytes."""
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64)
+
+
+def joined(*parts: bytes) -> bytes:
+    return b"".join(struct.pack("<I", len(x)) + x for x in parts)
+
+
+def split(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        (n,) = struct.unpack_from("<I", data, at)
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+def packed_lists(parts: list[np.ndarray] | list[bytes]) -> bytes:
+    """Lengths, then contents: of byte strings as they are, of id lists by planes."""
+    size = packed(np.fromiter(map(len, parts), np.uint32, len(parts)))
+    if parts and isinstance(parts[0], bytes):
+        return joined(size, zstandard.compress(b"".join(parts), 6))
+    return joined(size, packed(np.concatenate(parts)))
+
+
+def words_in(data: bytes) -> list[bytes]:
+    size, rest = split(data)
+    rest = zstandard.decompress(rest)
+    ends = np.cumsum(unpacked(size)).tolist()
+    return [rest[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def ids_in(data: bytes) -> list[list[int]]:
+    size, rest = split(data)
+    all_ = unpacked(rest).tolist()
+    ends = np.cumsum(unpacked(size)).tolist()
+    return [all_[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+class Block:
+    """Documents of one block, as codes into its word list by order of appearance."""
+
+    def __init__(self):
+        self.ids: list = []
+        self.codes: list[np.ndarray] = []
+        self.first: dict[str, int] = {}
+        self.size = 0
+
+    def add(self, key, text: str, find) -> None:
+        self.ids.append(key)
+        put, first = self.first.setdefault, self.first
+        self.codes.append(np.fromiter((put(w, len(first)) for w in find(text)), np.uint32))
+        self.size += len(text)
+
+    def rows(self, block: int, buckets: int) -> list[tuple[int, int, bytes, list | None]]:
+        """Rows (block, bucket, data, ids): the stream (bucket -1) and each bucket's words in order.
+
+        The stream codes words by falling count (then by bucket and word), so counts in order of bucket and
+        word are all that is needed to find a code's word again.
+        """
+        raw = [w.encode() for w in self.first]
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
+        order = np.array(sorted(range(len(raw)), key=lambda i: (bucket[i], raw[i])), np.int64)
+        all_ = np.concatenate(self.codes).astype(np.int64)
+        count = np.bincount(all_, minlength=len(raw))[order]
+        code = np.empty(len(raw), np.int64)
+        code[order[np.argsort(-count, kind="stable")]] = np.arange(len(raw))
+        out = [(block, -1, joined(packed(np.array([len(x) for x in self.codes])), packed(count), packed(code[all_])), self.ids)]
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+        return out + [(block, int(bucket[order[a]]), packed_lists([raw[i] for i in order[a:b]]), None) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def exploded(docs: DataFrame, text: str, key: str, pattern: str, buckets: int, block: int = BLOCK) -> DataFrame:
@@ -96,69 +138,62 @@ def exploded(docs: DataFrame, text: str, key: str, pattern: str, buckets: int, b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        compiled, part, n = regex.compile(pattern), TaskContext.get().partitionId(), 0
-        ids: list = []
-        texts: list[str] = []
-        size = 0
+        find, part, n, now = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0, Block()
 
         def out() -> pa.RecordBatch:
-            rows = block_rows((part << 32) + n, ids, texts, compiled, buckets)
+            rows = now.rows((part << 32) + n, buckets)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["block", "bucket", "data", "ids"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = t.as_py() or ""
-                if texts and size + len(t) > block:
+                if now.ids and now.size + len(t) > block:
                     yield out()
-                    n, size = n + 1, 0
-                    ids, texts = [], []
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-        if texts:
+                    n, now = n + 1, Block()
+                now.add(i, t, find)
+        if now.ids:
             yield out()
 
     return docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")).mapInArrow(run, "block long, bucket int, data binary, ids array<long>")
 
 
-def encoded_words(rows: DataFrame, ranks, pattern: str, buckets: int) -> DataFrame:
-    """Word lists -> lists of their ids (4-byte little-endian), each distinct word of a task encoded once."""
+def encoded_words(rows: DataFrame, ranks, name: str, pattern: str, buckets: int) -> DataFrame:
+    """Word lists -> lists of their ids, each distinct word of a task encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        enc = held("encoding", lambda: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_of(ranks.value), special_tokens={}))
-        done: dict[bytes, bytes] = {}
+        enc = held(f"encoding-{name}", lambda: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_of(ranks.value), special_tokens={}))
+        done: dict[bytes, np.ndarray] = {}
         for b in batches:
             data = []
             for blob in b.column(2):
-                words = unpacked(blob.as_py())
+                words = words_in(blob.as_py())
                 for w in words:
                     if w not in done:
-                        done[w] = np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes()
-                data.append(packed([done[w] for w in words]))
+                        done[w] = np.array(enc.encode_ordinary(w.decode()), np.uint32)
+                data.append(packed_lists([done[w] for w in words]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary()), b.column(3)], names=["block", "bucket", "data", "ids"])
 
     return rows.repartition(buckets, "bucket").mapInArrow(run, rows.schema)
 
 
-def reassembled(rows: DataFrame, ranks, make, schema: str) -> DataFrame:
+def reassembled(rows: DataFrame, ranks, name: str, make, schema: str) -> DataFrame:
     """Rows of encoded blocks -> what ``make(key, ids per pre-token, bytes per pre-token)`` gives per document.
 
     The second and third arguments are lists with an entry per pre-token, in order of position.
     """
 
     def whole(block: list[tuple[int, bytes, list | None]]) -> Iterator[tuple]:
-        tokens = held("bytes", lambda: {v: k for k, v in ranks_of(ranks.value).items()})
+        tokens = held(f"bytes-{name}", lambda: {v: k for k, v in ranks_of(ranks.value).items()})
         (_, data, keys), *lists = sorted(block, key=lambda x: x[0])
-        data = zlib.decompress(data)
-        width, n = struct.unpack_from("<BI", data)
-        count = np.frombuffer(data, "<u4", n, 5).astype(np.int64)
-        code = np.frombuffer(data, TYPES[width], -1, 5 + 4 * n).tolist()
-        ids = [np.frombuffer(x, "<u4").tolist() for _, part, _ in lists for x in unpacked(part)]
+        sizes, count, code = map(unpacked, split(data))
+        code = code.tolist()
+        ids = [x for _, part, _ in lists for x in ids_in(part)]
+        ids = [ids[i] for i in np.argsort(-count, kind="stable").tolist()]
         text = [b"".join([tokens[i] for i in x]) for x in ids]
         end = 0
-        for key, c in zip(keys, count.tolist(), strict=True):
+        for key, c in zip(keys, sizes.tolist(), strict=True):
             start, end = end, end + c
             yield make(key, ids, text, code[start:end])
 
@@ -193,10 +228,11 @@ def encode_decode(docs: DataFrame, make, schema: str, path: str, pattern: str, t
     spark = docs.sparkSession
     ship_code(spark)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranks = spark.sparkContext.broadcast(rank_lines(path))
+    lines = rank_lines(path)
+    ranks, name = spark.sparkContext.broadcast(lines), f"{zlib.crc32(lines)}-{zlib.crc32(pattern.encode())}"
     rows = written(exploded(docs, text, key, pattern, buckets, block), "pretokens")
-    words = encoded_words(rows.where("bucket >= 0"), ranks, pattern, buckets)
-    return reassembled(rows.where("bucket < 0").union(words), ranks, make, schema)
+    words = encoded_words(rows.where("bucket >= 0"), ranks, name, pattern, buckets)
+    return reassembled(rows.where("bucket < 0").union(words), ranks, name, make, schema)
 
 
 def digests(key, ids: list[list[int]], text: list[bytes], code: list[int]) -> tuple:

@@ -73,10 +73,10 @@ class Encoder:
 
 def encoded(docs: DataFrame, spec: str, pattern: str, text: str, key: str, end: int, width: int) -> DataFrame:
     """(doc_id, th, ids): ids as bytes, with the end id."""
-    spec_b = docs.sparkSession.sparkContext.broadcast(spec)
+    spec_b, name = docs.sparkSession.sparkContext.broadcast(spec), f"encoder-{zlib.crc32(spec.encode())}-{zlib.crc32(pattern.encode())}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = held("encoder", lambda: Encoder(spec_b.value, pattern))
+        encode = held(name, lambda: Encoder(spec_b.value, pattern))
         for b in batches:
             ids = [np.array([*encode(t.as_py() or ""), end], f"<u{width}").tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["doc_id", "th", "ids"])
