@@ -1,0 +1 @@
+"""Operators on series: windows, recurrences, fits, folds."""
