@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, ship_code, written
 
-BLOCK = 16_000_000
+BLOCK = 24_000_000
 
 
 def rank_lines(path: str) -> bytes:
@@ -179,23 +179,23 @@ def encoded_words(rows: DataFrame, ranks, name: str, pattern: str, buckets: int)
 
 
 def reassembled(rows: DataFrame, ranks, name: str, make, schema: str) -> DataFrame:
-    """Rows of encoded blocks -> what ``make(key, ids per pre-token, bytes per pre-token)`` gives per document.
+    """Rows of encoded blocks -> a row per document.
 
-    The second and third arguments are lists with an entry per pre-token, in order of position.
+    ``make(ids, text)`` gets the ids and bytes of each code of a block, and gives what turns a document's key and
+    codes (in order of position) into its row.
     """
 
     def whole(block: list[tuple[int, bytes, list | None]]) -> Iterator[tuple]:
         tokens = held(f"bytes-{name}", lambda: {v: k for k, v in ranks_of(ranks.value).items()})
         (_, data, keys), *lists = sorted(block, key=lambda x: x[0])
         sizes, count, code = map(unpacked, split(data))
-        code = code.tolist()
         ids = [x for _, part, _ in lists for x in ids_in(part)]
         ids = [ids[i] for i in np.argsort(-count, kind="stable").tolist()]
         text = [b"".join([tokens[i] for i in x]) for x in ids]
-        end = 0
+        row, end = make(ids, text), 0
         for key, c in zip(keys, sizes.tolist(), strict=True):
             start, end = end, end + c
-            yield make(key, ids, text, code[start:end])
+            yield row(key, code[start:end])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = batches_schema
@@ -235,15 +235,21 @@ def encode_decode(docs: DataFrame, make, schema: str, path: str, pattern: str, t
     return reassembled(rows.where("bucket < 0").union(words), ranks, name, make, schema)
 
 
-def digests(key, ids: list[list[int]], text: list[bytes], code: list[int]) -> tuple:
-    """doc_id, n_tokens, SHA-256 of the ids as decimals with commas, SHA-256 of the decoded bytes."""
-    said = ",".join([str(i) for c in code for i in ids[c]])
-    return key, sum([len(ids[c]) for c in code]), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(b"".join([text[c] for c in code])).hexdigest()
+def digests(ids: list[list[int]], text: list[bytes]):
+    """Rows doc_id, n_tokens, SHA-256 of the ids as decimals with commas, SHA-256 of the decoded bytes."""
+    said = [",".join(map(str, x)) for x in ids]
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
 
+    def row(key, code: np.ndarray) -> tuple:
+        each = code.tolist()
+        return key, int(size[code].sum()), hashlib.sha256(",".join([said[c] for c in each]).encode()).hexdigest(), hashlib.sha256(b"".join([text[c] for c in each])).hexdigest()
 
-def token_ids(key, ids: list[list[int]], text: list[bytes], code: list[int]) -> tuple:
-    """doc_id, its ids, the decoded bytes."""
-    return key, [i for c in code for i in ids[c]], b"".join([text[c] for c in code])
+    return row
+
+
+def token_ids(ids: list[list[int]], text: list[bytes]):
+    """Rows doc_id, its ids, the decoded bytes."""
+    return lambda key, code: (key, [i for c in code.tolist() for i in ids[c]], b"".join([text[c] for c in code.tolist()]))
 
 
 DIGESTS, TOKENS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "doc_id long, ids array<int>, decoded binary"
