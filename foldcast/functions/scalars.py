@@ -53,7 +53,8 @@ def garman_klass_vol(open_: Column | str, high: Column | str, low: Column | str,
     inside = lambda x: is_finite(x) & (x >= low_) & (x <= h)
     ok = _bar(h, low_) & inside(o) & inside(c)
     hl, co = F.when(ok, F.log(h / low_)), F.when(ok, F.log(c / o))
-    return normalise(F.sqrt(F.greatest(F.lit(0.0), 0.5 * hl * hl - F.lit(2 * math.log(2) - 1) * co * co)))
+    var = 0.5 * hl * hl - F.lit(2 * math.log(2) - 1) * co * co
+    return normalise(F.sqrt(F.when(var > 0, var).when(var <= 0, F.lit(0.0))))
 
 
 def vol_target_position(sigma: Column | str, target_vol: float, equity: float, price: Column | str, max_leverage: float) -> Column:
