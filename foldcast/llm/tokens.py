@@ -12,7 +12,7 @@ Shards come from a range partitioning of documents by (doc_id, text hash), so th
 one task; a key that very many rows share is split by text. A file is written under a name of its attempt, then
 renamed: a repeated or speculative attempt writes the same bytes.
 
-Encoding memoizes pre-tokens (the tokenizer's own byte-level pattern splits texts, and its model encodes each
+Shards hold about SHARD_BYTES of text each. Encoding memoizes pre-tokens (the tokenizer's own byte-level pattern splits texts, and its model encodes each
 word that the worker doesn't hold), since the library's whole-text call costs several times that. Tests hold it
 to the whole-text call.
 
@@ -45,44 +45,28 @@ GAMMA = 2.0
 MAGIC = b"FCIX0001"
 
 
-class Encoder:
-    """Ids of texts by a byte-level BPE tokenizer, memoized by pre-token."""
+class Encoder(dict):
+    """Pre-tokens and their ids as bytes; those it lacks are encoded by the tokenizer's model when asked for."""
 
-    def __init__(self, spec: str, pattern: str):
+    def __init__(self, spec: str, pattern: str, width: int):
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(spec).model
+        super().__init__()
+        self.model, self.kind = Tokenizer.from_str(spec).model, f"<u{width}"
         self.find = regex.compile(pattern).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the alphabet
         rest = iter(range(256, 512))
         self.alphabet = {b: b if b in shown else next(rest) for b in range(256)}
-        self.held: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        held, out = self.held, []
-        for w in self.find(text):
-            ids = held.get(w)
-            if ids is None:
-                if len(held) >= CACHE:
-                    held.clear()
-                ids = held[w] = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))]
-            out += ids
-        return out
-
 
-def encoded(docs: DataFrame, spec: str, pattern: str, text: str, key: str, end: int, width: int) -> DataFrame:
-    """(doc_id, th, ids): ids as bytes, with the end id."""
-    spec_b, name = docs.sparkSession.sparkContext.broadcast(spec), f"encoder-{zlib.crc32(spec.encode())}-{zlib.crc32(pattern.encode())}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = held(name, lambda: Encoder(spec_b.value, pattern))
-        for b in batches:
-            ids = [np.array([*encode(t.as_py() or ""), end], f"<u{width}").tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["doc_id", "th", "ids"])
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        out = self[word] = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))], self.kind).tobytes()
+        return out
 
-    t = F.col(f"`{text}`")
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t).mapInArrow(run, "doc_id long, th long, ids binary")
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.find(text)))
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -180,12 +164,15 @@ def numbered(doc_id: list) -> np.ndarray:
     return i - np.maximum.accumulate(np.where(same, 0, i)) if len(i) else i
 
 
-def write_shards(ids: DataFrame, folder: str, width: int, shard_bytes: int) -> DataFrame:
-    """Encoded documents -> files, and the catalogue of keys: (shard, doc_id, nth, n)."""
-    total = ids.agg(F.sum(F.length("ids"))).first()[0] or 0
+def write_shards(docs: DataFrame, folder: str, spec: str, pattern: str, end: int, width: int, shard_bytes: int) -> DataFrame:
+    """(doc_id, th, text) -> files, and the catalogue of keys: (shard, doc_id, nth, n)."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
+    sent, name = docs.sparkSession.sparkContext.broadcast(spec), f"encoder-{zlib.crc32(spec.encode())}-{zlib.crc32(pattern.encode())}-{width}"
+    stop = np.array([end], f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = held(name, lambda: Encoder(sent.value, pattern, width)).encode
         shard = TaskContext.get().partitionId()
         fs, path = filesystem(folder)
         mine = uuid.uuid4().hex
@@ -197,8 +184,8 @@ def write_shards(ids: DataFrame, folder: str, width: int, shard_bytes: int) -> D
                 fs.create_dir(path, recursive=True)
                 out = fs.open_output_stream(f"{path}/{mine}.bin.part")
             doc_id += b.column(0).to_pylist()
-            for x in b.column(2):
-                data = x.as_py()
+            for t in b.column(2):
+                data = encode(t.as_py() or "") + stop
                 count.append(len(data) // width)
                 out.write(data)
         if out is None:
@@ -214,7 +201,7 @@ def write_shards(ids: DataFrame, folder: str, width: int, shard_bytes: int) -> D
             fs.move(f"{path}/{mine}.{kind}.part", f"{path}/{shard:06d}.{kind}")
         yield pa.RecordBatch.from_arrays([pa.array([shard] * len(n), pa.int64()), pa.array(doc_id, pa.int64()), pa.array(nth, pa.int64()), pa.array(n)], names=["shard", "doc_id", "nth", "n"])
 
-    ranged = ids.repartitionByRange(int(shards), "doc_id", "th").sortWithinPartitions("doc_id", "th")
+    ranged = docs.repartitionByRange(int(shards), "doc_id", "th").sortWithinPartitions("doc_id", "th")
     return written(ranged.mapInArrow(run, "shard long, doc_id long, nth long, n long"), "catalogue")
 
 
@@ -246,8 +233,9 @@ def write_tokens(docs: DataFrame, folder: str, spec: str, pattern: str, text: st
     """Encode, write the shards to ``folder`` (a URI that all executors reach), return the catalogue of keys."""
     ship_code(docs.sparkSession)
     width = 2 if max(json.loads(spec)["model"]["vocab"].values(), default=0) < 65_536 and end < 65_536 else 4
-    ids = written(encoded(docs, spec, pattern, text, key, end, width), "ids")
-    return write_shards(ids, folder, width, shard_bytes)
+    t = F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"))
+    return write_shards(rows, folder, spec, pattern, end, width, shard_bytes)
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
