@@ -78,9 +78,9 @@ def numeric(df: DataFrame, *names: str) -> None:
 
 def count(value: object, name: str, least: int = 0) -> int:
     """A whole number of at least ``least``."""
-    if isinstance(value, bool) or not isinstance(value, int):
-        if not (isinstance(value, float) and value.is_integer()) and not hasattr(value, "__index__"):
-            raise TypeError(f"{name} is no whole number: {value!r}")
+    whole = hasattr(value, "__index__") or isinstance(value, float) and value.is_integer()
+    if isinstance(value, bool) or not whole:
+        raise TypeError(f"{name} is no whole number: {value!r}")
     out = int(value)  # type: ignore[call-overload]
     if not least <= out <= LARGEST_COUNT:
         raise ValueError(f"{name} must be at least {least}: {out}")
