@@ -133,3 +133,50 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, text: str = "t
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), ["doc_id"])
+
+
+def _oracle() -> str:
+    ratios = [*RATIOS.items()]
+    each = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, {c}::DOUBLE / n_words AS v FROM counts WHERE n_words > 0" for r, (c, _) in ratios)
+    level = lambda a, b, k: f"SELECT {k} AS level, {a} AS lang, {b} AS source, ratio, bucket, count(*) AS n FROM buckets GROUP BY ALL"
+    least = "CASE ratio " + " ".join(f"WHEN '{r}' THEN {s}" for r, (_, s) in ratios) + " END"
+    pick = lambda r: f"(SELECT fence FROM fences f WHERE f.ratio = '{r}' AND f.docs >= CASE f.level WHEN 2 THEN 0 ELSE {MIN_DOCS} END AND (f.level = 2 OR f.lang IS NOT DISTINCT FROM c.lang) AND (f.level > 0 OR f.source IS NOT DISTINCT FROM c.source) ORDER BY f.level LIMIT 1)"
+    over = " OR ".join(f"coalesce(CASE WHEN n_words > 0 THEN {c}::DOUBLE / n_words END > {pick(r)}, false)" for r, (c, _) in ratios)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+), pos AS (
+  SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM w
+), windows AS (
+  SELECT k, i, array_to_string(w[i:i+7], ' ') AS g FROM pos WHERE i + 7 <= len(w)
+), repeated AS (
+  SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT k, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n FROM (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS nxt FROM repeated) GROUP BY k
+), stutter AS (
+  SELECT k, count(*) AS n FROM pos WHERE i < len(w) AND w[i] = w[i + 1] GROUP BY k
+), counts AS (
+  SELECT w.k, doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(s.n, 0)::BIGINT AS n_stutter
+  FROM w LEFT JOIN covered c ON c.k = w.k LEFT JOIN stutter s ON s.k = w.k
+), v AS ({each}), buckets AS (
+  SELECT *, CASE WHEN v > {SMALLEST} THEN ceil(ln(v) / {math.log(GAMMA)!r}) ELSE {ZERO} END::INT AS bucket FROM v
+), merged AS ({level('lang', 'source', 0)} UNION ALL {level('lang', 'NULL', 1)} UNION ALL {level('NULL', 'NULL', 2)}), running AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS docs FROM merged
+), quartiles AS (
+  SELECT level, lang, source, ratio, docs, min(bucket) FILTER (WHERE seen > floor(0.25 * (docs - 1))) AS b1, min(bucket) FILTER (WHERE seen > floor(0.75 * (docs - 1))) AS b3 FROM running GROUP BY ALL
+), q AS (
+  SELECT *, CASE WHEN b1 = {ZERO} THEN 0 ELSE 2 * pow({GAMMA}, b1) / {GAMMA + 1} END AS q1, CASE WHEN b3 = {ZERO} THEN 0 ELSE 2 * pow({GAMMA}, b3) / {GAMMA + 1} END AS q3 FROM quartiles
+), fences AS (
+  SELECT *, q3 + {FAR} * greatest(q3 - q1, {least}) AS fence FROM q
+), failed AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stutter, base_failed, NOT base_failed AND NOT ({over}) AS kept FROM failed c
+"""
+
+
+ORACLE = _oracle()
