@@ -40,7 +40,7 @@ from .common import documents, shared_dir, ship_code, written
 
 END = 2
 SHARD_BYTES = 32_000_000
-CACHE = 150_000
+CACHE = 400_000
 GAMMA = 2.0
 MAGIC = b"FCIX0001"
 
@@ -53,16 +53,18 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.model, self.kind = Tokenizer.from_str(spec).model, f"<u{width}"
-        self.find = regex.compile(pattern).findall
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the alphabet
+        tokenizer = Tokenizer.from_str(spec)
+        self.model, self.find = tokenizer.model, regex.compile(pattern).findall
+        self.raw = [i.to_bytes(width, "little") for i in range(max(tokenizer.get_vocab().values(), default=0) + 1)]
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves in the alphabet
         rest = iter(range(256, 512))
         self.alphabet = {b: b if b in shown else next(rest) for b in range(256)}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        out = self[word] = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))], self.kind).tobytes()
+        raw = self.raw
+        out = self[word] = b"".join([raw[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
         return out
 
     def encode(self, text: str) -> bytes:
