@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contract import GARCH_MAX_PERSISTENCE, SMALLEST_NORMAL, positive
@@ -71,6 +71,19 @@ def vol_target_position(sigma: Column | str, target_vol: float, equity: float, p
     return F.when(is_finite(held) & (held >= F.lit(SMALLEST_NORMAL)), held).otherwise(F.lit(0.0))
 
 
+def risk_cap_position(sigma: Column | str, cap: float, equity: float, price: Column | str, max_leverage: float) -> Column:
+    """vol_target_position read as a cap on the volatility that one position may add."""
+    return vol_target_position(sigma, cap, equity, price, max_leverage)
+
+
+def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose columns are all finite. Apply it after windows and before numbering positions."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & is_finite(c)
+    return df.where(ok)
+
+
 def valid_garch(omega: Column | str, alpha: Column | str, beta: Column | str) -> Column:
     """True for parameters of a stationary GARCH(1,1)."""
     o, a, b = _c(omega), _c(alpha), _c(beta)

@@ -211,6 +211,12 @@ def strategy_summary(df: DataFrame, r: str, spec: SeriesSpec, periods: float = 2
     return out.withColumn("sharpe", F.when(F.col("annual_vol") > 0, F.col("annual_return") / F.col("annual_vol")))
 
 
+def realised_over_target(df: DataFrame, r: str, by: list[str], target: float) -> DataFrame:
+    """Per group: population deviation of the returns over the volatility they were sized for."""
+    t = positive(target, "target")
+    return df.groupBy(*by).agg((F.stddev_pop(S.normalise(r)) / t).alias("ratio"))
+
+
 def hit_rate(df: DataFrame, predicted: str, actual: str, by: list[str]) -> DataFrame:
     """Per group: share of rows whose signs agree, and the correlation of prediction and outcome."""
     both = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
@@ -218,4 +224,4 @@ def hit_rate(df: DataFrame, predicted: str, actual: str, by: list[str]) -> DataF
     return both.groupBy(*by).agg(F.avg(same).alias("hit_rate"), F.corr(predicted, actual).alias("correlation"), F.count("*").alias("n"))
 
 
-__all__ = ["Ridge", "Window", "demeaned", "garch_fit", "garch_fit_one", "hit_rate", "kelly_fraction", "ridge_fit", "ridge_fit_large", "ridge_predict", "standardised", "strategy_summary", "train_statistics"]
+__all__ = ["Ridge", "Window", "demeaned", "garch_fit", "garch_fit_one", "hit_rate", "kelly_fraction", "realised_over_target", "ridge_fit", "ridge_fit_large", "ridge_predict", "standardised", "strategy_summary", "train_statistics"]

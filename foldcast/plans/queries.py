@@ -15,6 +15,7 @@ from ..functions import scalars as S
 from ..operators import fits, folds, recurrences
 from ..operators import windows as W
 from ..sources import bars
+from . import lookback
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +106,25 @@ def rolling_std_20_ticks(spark, d):
     return W.rolling_std(tk(spark, d), "price", TK, 20, "sd").select("event_id", r6("sd", "sd"))
 
 
+@query(f"WITH {PX_SQL}, x AS (SELECT d, {rolled('avg', '', 'd', 'close')} AS m FROM px) SELECT d, m FROM x WHERE d >= TIMESTAMP '1996-01-01' AND d < TIMESTAMP '1996-07-01'")
+def rolling_mean_stretch(spark, d):
+    low, high = (F.lit(x).cast("timestamp_ntz") for x in ("1996-01-01", "1996-07-01"))
+    x = lookback.between(px(spark, d).select("d", "close"), PX, low, high, 19, lambda rows: W.rolling_mean(rows, "close", PX, 20, "m"))
+    return x.select("d", r6("m", "m"))
+
+
+@query(f"WITH {PX_SQL} SELECT round(stddev_pop(r) / 0.5, 6) AS ratio FROM (SELECT close / lag(close) OVER (ORDER BY d) - 1 AS r FROM px)")
+def realised_over_target(spark, d):
+    x = W.simple_returns(px(spark, d), "close", PX)
+    return fits.realised_over_target(x, "r", [], 0.5).select(r6("ratio", "ratio"))
+
+
+@query(f"WITH {PX_SQL} SELECT d, open, close FROM px WHERE close >= {GAP} AND open >= {GAP}")
+def complete_cases(spark, d):
+    x = px(spark, d).select("d", *[F.when(F.col(c) >= GAP, F.col(c)).otherwise(F.lit(float("nan"))).alias(c) for c in ("open", "close")])
+    return S.complete_cases(x, ["open", "close"])
+
+
 @query(f"WITH {TK_SQL} SELECT event_id, {rolled('stddev_pop', 'PARTITION BY key', 'ts, event_id', 'price')} AS sd FROM tk")
 def rolling_std_fast(spark, d):
     return W.rolling_std(tk(spark, d), "price", TK, 20, "sd", method="fast").select("event_id", r6("sd", "sd"))

@@ -281,3 +281,21 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream_bars(s, "10 minutes", "1 minute").writeStream.format("memory").queryName("out_bars").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("out_bars").count() >= 2 * 8
+
+
+def test_model_object(spark):
+    from foldcast.operators.models import GarchModel
+
+    m = GarchModel(0.2, 0.3, 0.5)
+    assert (m.persistence, m.unconditional_vol) == (0.8, math.sqrt(0.2 / (1 - 0.8))) and math.isclose(m.half_life, math.log(0.5) / math.log(0.8))
+    df = frame(spark, [1.0, -2.0, 3.0])
+    assert np.allclose(np.square(column(m.filter(df, "r", T, "v"), "v")), [1.0, 1.0, 1.9])
+    for f in (lambda: m.filter_from(df, "r", T), lambda: m.forecast(spark, 3), lambda: GarchModel(0.0, 0.1, 0.1), lambda: GarchModel(0.1, 0.5, 0.5)):
+        with pytest.raises(ValueError):
+            f()
+    assert column(m.filter_from(df, "r", T, 4.0, "v"), "v")[0] == 2.0
+    vol = [r.vol for r in GarchModel(0.2, 0.3, 0.5, 2.5).forecast(spark, 3).orderBy("h").collect()]
+    assert np.allclose(vol, K.garch_forecast(0.2, 0.3, 0.5, 2.5, 3), rtol=1e-14)
+    r = garch_path(2, 300, 2e-6, 0.1, 0.85)
+    fitted = GarchModel.fit(frame(spark, r.tolist()), "r", ["t"])
+    assert fitted.converged and fitted.sigma2_next > 0
