@@ -4,7 +4,7 @@ quality rules -> line dedup -> SimHash near-dedup -> mixing to target weights ->
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of the
 documents. Between stages the rows are written as Parquet in the shared folder and read again, so a lost executor
-costs a stage's tasks at most, and no plan spans two stages.
+costs a stage's tasks at most, and no plan spans two stages. A stage's own tables are dropped when the next one begins.
 
 1. Quality: documents that the base rules or the adaptive fences reject go.
 2. Lines: lines that an earlier line is similar to go; documents that lose all their words go with them.
@@ -15,30 +15,57 @@ costs a stage's tasks at most, and no plan spans two stages.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldcast.llm import bpe, lines, mixing, quality, simhash
-from foldcast.llm.common import documents, drop_written, written
+from foldcast.llm.common import MADE, documents, drop_paths, drop_written, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_tables: dict[str, list[str]] = {}
+
+
+def stage(f: Stage) -> Stage:
+    """A stage that first drops what the stage before it has written for its own use.
+
+    By then that stage's result is a table (which is not dropped here), so nothing reads those any more.
+    """
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_paths(spark, _tables.pop(sf_dir, []))
+        before = set(MADE)
+        out = f(spark, docs, sf_dir)
+        _tables[sf_dir] = [p for p in MADE if p not in before]
+        return out
+    return run_stage
+
 
 
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(docs)
     return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.without_lines(docs)
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicated(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(docs)
 
@@ -58,9 +85,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the documents of ``sf_dir``."""
     docs, last = documents(spark, sf_dir), None
-    for i, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{i}")
+    for i, (_, f) in enumerate(STAGES):
+        docs = written(f(spark, docs, sf_dir), f"stage{i}")
         if last is not None:
             drop_written(last)
         last = docs
+    drop_paths(spark, _tables.pop(sf_dir, []))
     return docs

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Paths of the tables that this process has written and not dropped.
+MADE: list[str] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -45,6 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._foldcast_path = path
+    MADE.append(path)
     return out
 
 
@@ -52,9 +55,14 @@ def drop_written(df: DataFrame) -> None:
     """Remove the files of a table that :func:`written` made and nothing reads any more."""
     path = getattr(df, "_foldcast_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        drop_paths(df.sparkSession, [path])
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in [p for p in paths if p in MADE]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        MADE.remove(path)
 
 
 def ship_code(spark: SparkSession) -> None:

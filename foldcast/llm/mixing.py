@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, words, written
+from .common import documents, drop_written, words, written
 
 BLOCK = 32
 SHARD_SLOTS = 16_384
@@ -64,9 +64,9 @@ def permuted(x: Column, n: Column, salt: Column, keys: list[int], inverse: bool
     return F.aggregate(F.array(*[F.lit(c).cast("long") for c in (reversed(keys) if inverse else keys)]), x.cast("long"), turn)
 
 
-def placed(docs: DataFrame, keep: list[str], text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def placed(docs: DataFrame, keep: list[str], text: str = "text", source: str = "source", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Columns ``keep`` of ``docs`` as c0, c1, ... (no name of theirs can clash), with _source, _size (words)
-    and _start (words of the source before it)."""
+    and _start (words of the source before it); and the written table that this reads."""
     t, n = F.col(f"`{text}`"), len(keep)
     cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
     base = docs.select(*cols, F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(t).alias("_th"), F.col(f"`{source}`").alias("_source"), F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_size"))
@@ -76,7 +76,7 @@ def placed(docs: DataFrame, keep: list[str], text: str = "text", source: str = "
     outer = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = local.groupBy(F.col("_source").alias("s"), F.col("_bucket").alias("b")).agg(F.sum("_size").alias("n")).select("s", "b", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("_base"))
     out = local.join(offsets, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_bucket") == F.col("b")))
-    return out.select(*[f"c{i}" for i in range(n)], "_source", "_size", (F.col("_base") + F.col("_local")).alias("_start"))
+    return out.select(*[f"c{i}" for i in range(n)], "_source", "_size", (F.col("_base") + F.col("_local")).alias("_start")), local
 
 
 def targets(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -120,12 +120,14 @@ def slots_of(drawn: DataFrame) -> DataFrame:
 
 def plan_mix(docs: DataFrame, keep: list[str], block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The placed documents (written; with _sid, _source_size, _target), the sources, and the slots of all shards."""
-    at = placed(docs, keep)
+    at, local = placed(docs, keep)
     sizes = at.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
     sources = written(targets(sizes, block), "targets")
     at = at.join(sources, F.col("_source").eqNullSafe(F.col("source")))
     at = at.select(*[f"c{i}" for i in range(len(keep))], "_size", "_start", *[F.col(c).alias(f"_{c}") for c in ("sid", "source_size", "target")])
-    return written(at, "mix"), sources, slots_of(counted_slots(sources, shard_slots))
+    at = written(at, "mix")
+    drop_written(local)
+    return at, sources, slots_of(counted_slots(sources, shard_slots))
 
 
 def pieces(at: DataFrame, block: int = BLOCK) -> DataFrame:
