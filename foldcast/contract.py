@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +71,13 @@ def check_same_rows(a: DataFrame, b: DataFrame, on: list[str]) -> None:
             raise ValueError(f"the frames differ in their rows by {on}")
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def numeric(df: DataFrame, *names: str) -> None:
     """An error unless the columns are numeric or boolean."""
     for n in names:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..contract import INVALID, OK, OUT_OF_DOMAIN, DomainError, SeriesSpec, numeric, positive
+from ..contract import INVALID, OK, OUT_OF_DOMAIN, DomainError, SeriesSpec, numeric, positive, ship_code
 from ..functions import scalars as S
 from . import kernels as K
 
@@ -35,6 +35,7 @@ def kelly_fraction(df: DataFrame, r: str, by: list[str], fraction: float = 1.0,
 
 
 def _fitted(df: DataFrame, by: list[str], order: list[str], fields: T.StructType, fit) -> DataFrame:
+    ship_code(df.sparkSession)
     keys = [df.schema[b] for b in by]
     schema = T.StructType([*keys, *fields.fields, T.StructField("status", T.IntegerType()), T.StructField("reason", T.StringType())])
 
@@ -98,6 +99,7 @@ def ridge_fit_large(df: DataFrame, features: list[str], y: str, ridge: float = 0
     Two passes: means of offsets from one row, then factors (d + 1 squared numbers a task) on the driver.
     """
     numeric(df, *features, y)
+    ship_code(df.sparkSession)
     names = [*features, y]
     x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
     cols = x.columns

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..contract import PREDICTIVE, SeriesSpec, count, numeric, with_timed
+from ..contract import PREDICTIVE, SeriesSpec, count, numeric, ship_code, with_timed
 from ..functions import scalars as S
 from . import kernels as K
 
@@ -27,7 +27,8 @@ def _check_lam(lam: float) -> float:
 
 
 def _per_series(df: DataFrame, spec: SeriesSpec, needs: list[str], out: str, make) -> DataFrame:
-    """``df`` with the column that make(pandas-free dict of arrays) gives for each series in order."""
+    """``df`` with the column that make(dict of arrays) gives for each series in order."""
+    ship_code(df.sparkSession)
     plain = [c for c in df.columns if c != out]
     df = df.select(*plain)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..contract import ship_code
+
 #: The 64-bit linear congruential generator (Knuth's MMIX) of the known-answer series.
 MULTIPLIER, INCREMENT = 6364136223846793005, 1442695040888963407
 
@@ -33,6 +35,8 @@ def garch_path(seed: int, n: int, omega: float, alpha: float, beta: float) -> np
 
 def simulated_garch(spark: SparkSession, seeds: list[int], n: int, omega: float = 2e-6, alpha: float = 0.10, beta: float = 0.85, start: float = 100.0) -> DataFrame:
     """(key, t, r, price): one series a seed, made on the executors."""
+    ship_code(spark)
+
     def run(batches):
         for b in batches:
             for seed in b.column(0).to_pylist():

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..contract import ship_code
 from ..functions.scalars import normalise
 from ..operators import kernels as K
 from ..sources.bars import bars
@@ -32,6 +33,8 @@ def stream_bars(ticks: DataFrame, width: str, delay: str, key: str = "key", ts:
 
 
 def _stateful(df: DataFrame, key: str, ts: str, r: str, step: Callable[[np.ndarray, float | None], tuple[np.ndarray, float | None]]) -> DataFrame:
+    ship_code(df.sparkSession)
+
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value, seen, last, late = state.get if state.exists else (0.0, False, None, 0)
         rows = pd.concat(list(parts)).sort_values(ts, kind="stable")
