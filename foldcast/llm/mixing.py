@@ -100,11 +100,17 @@ def targets(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     return s.select("source", "source_size", "sid", "blocks", "target", "slots", F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("first"), F.sum("slots").over(all_).alias("total"))
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Few small rows that many large ones are made of: dealt to a set number of tasks, which isn't lowered for the
+    rows' size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def counted_slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Draws of all shards: (shard, sid, blocks, n, before): n slots of a source, after ``before`` earlier ones."""
     chunks = sources.where("slots > 0").select("sid", "blocks", "first", "slots", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("c"))
     stratum = F.explode(F.sequence(F.col("first") + F.col("c") * CHUNK, F.col("first") + F.least((F.col("c") + 1) * CHUNK, F.col("slots")) - 1))
-    slots = chunks.repartition("sid", "c").select("sid", "blocks", "total", stratum.alias("g"))
+    slots = dealt(chunks, "sid", "c").select("sid", "blocks", "total", stratum.alias("g"))
     slots = slots.select("sid", "blocks", permuted(F.col("g"), F.col("total"), F.lit(0), STRATUM_KEYS).alias("g"))
     drawn = slots.groupBy(F.floor(F.col("g") / shard_slots).alias("shard"), "sid", "blocks").agg(F.count("*").alias("n"))
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,7 +119,7 @@ def counted_slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFra
 
 def slots_of(drawn: DataFrame) -> DataFrame:
     """A row per slot: (shard, sid, pass, block)."""
-    each = drawn.repartition("sid", "shard").select("shard", "sid", "blocks", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("j"))
+    each = dealt(drawn, "sid", "shard").select("shard", "sid", "blocks", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("j"))
     each = each.select("shard", "sid", "blocks", F.floor(F.col("j") / F.col("blocks")).alias("pass"), (F.col("j") % F.col("blocks")).alias("block"))
     return each.select("shard", "sid", "pass", permuted(F.col("block"), F.col("blocks"), F.col("sid"), BLOCK_KEYS).alias("block"))
 
@@ -140,9 +146,10 @@ def pieces(at: DataFrame, block: int = BLOCK) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     at, _, slots = plan_mix(documents(spark, sf_dir), ["doc_id"])
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    got = pieces(at).join(times, (F.col("_sid") == F.col("sid")) & (F.col("_block") == F.col("block")))
+    got = pieces(at).join(times.hint("merge"), (F.col("_sid") == F.col("sid")) & (F.col("_block") == F.col("block")))
     got = got.groupBy(F.col("_sid").alias("g_sid"), F.col("_start").alias("g_start")).agg(F.sum((F.col("_to") - F.col("_from")) * F.col("times")).alias("taken"))
-    out = at.join(got, (F.col("_sid") == F.col("g_sid")) & (F.col("_start") == F.col("g_start")) & (F.col("_size") > 0), "left")
+    # slots are exploded from a small table of sources, by whose size joins would be planned without the hints
+    out = at.join(got.hint("merge"), (F.col("_sid") == F.col("g_sid")) & (F.col("_start") == F.col("g_start")) & (F.col("_size") > 0), "left")
     return out.select(F.col("c0").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -154,10 +161,10 @@ def mixed_documents(docs: DataFrame, block: int = 256) -> DataFrame:
     """
     keep = docs.columns
     at, _, slots = plan_mix(docs, keep, block)
-    got = pieces(at, block).join(slots, (F.col("_sid") == F.col("sid")) & (F.col("_block") == F.col("block")))
+    got = pieces(at, block).join(slots.hint("merge"), (F.col("_sid") == F.col("sid")) & (F.col("_block") == F.col("block")))
     part = F.struct((F.col("_from") - F.col("_start") + 1).cast("int").alias("a"), (F.col("_to") - F.col("_from")).cast("int").alias("n"))
     got = got.groupBy(F.col("_sid").alias("g_sid"), F.col("_start").alias("g_start"), "pass").agg(F.sum(F.col("_to") - F.col("_from")).alias("n"), F.sort_array(F.collect_list(part)).alias("parts"))
-    out = at.join(got, (F.col("_sid") == F.col("g_sid")) & (F.col("_start") == F.col("g_start")) & (F.col("_size") > 0))
+    out = at.join(got.hint("merge"), (F.col("_sid") == F.col("g_sid")) & (F.col("_start") == F.col("g_start")) & (F.col("_size") > 0))
     text = F.col(f"c{keep.index('text')}")
     out = out.withColumn("_words", F.when(F.col("n") < F.col("_size"), words(text)))
     some = F.array_join(F.transform("parts", lambda p: F.array_join(F.slice("_words", p["a"], p["n"]), " ")), " ")
