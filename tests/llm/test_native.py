@@ -96,7 +96,7 @@ def line_rows():
 def test_line_dedup_is_exact(spark, monkeypatch):
     rows = line_rows()
     want = plain_removed(rows)
-    for hot in (lines.HOT, 3):  # 3: most lists are hot, so the pivots decide
+    for hot in (lines.HOT, 2):  # 2: most lists are hot, so the pivots decide
         monkeypatch.setattr(lines, "HOT", hot)
         d = docs(spark, rows).repartition(3)
         per = {(r._id, r._th): r for r in lines.removed_lines(d).collect()}
