@@ -169,12 +169,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """Rows with _fp (a written table) -> the same with _component: the smallest linked id."""
+    """Rows with _fp (a written table) -> the same with _root (one fingerprint of the linked group, which tells groups
+    apart) and _component (the smallest linked id, which groups without ids or with repeated ones can share)."""
     nodes = written(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min(f"`{doc_id}`").alias("least")), "nodes")
     root = components(links(nodes.select("fp"), radius))
     rooted = written(nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     best = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("_component"))
-    by = rooted.join(best, F.col("root") == F.col("r")).select(F.col("fp").alias("k_fp"), "_component")
+    by = rooted.join(best, F.col("root") == F.col("r")).select(F.col("fp").alias("k_fp"), F.col("root").alias("_root"), "_component")
     return prints.join(by, F.col("_fp") == F.col("k_fp")).drop("k_fp")
 
 
@@ -185,14 +186,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component: that with the smallest id (of rows that repeat an id, one)."""
+    """One document of each linked group: that with the smallest id (of linked rows that repeat it or have none, one)."""
     n = len(docs.columns)
     flat = docs.toDF(*[f"c{i}" for i in range(n)])  # no name of a column can clash
     text, doc_id = f"c{docs.columns.index('text')}", f"c{docs.columns.index('doc_id')}"
     prints = with_fingerprint(flat, text, flat.columns)
     prints = written(prints.select("*", F.coalesce(doc_id, F.lit(0)).alias("_id"), F.col(doc_id).isNull().alias("_none"), F.xxhash64(text).alias("_th")), "prints")
     found = near_duplicates(prints.select(F.col(doc_id).alias("doc_id"), "_fp", "_none", "_id", "_th"))
-    keys = found.groupBy("_component").agg(F.min(F.struct("_none", "_id", "_fp", "_th")).alias("x")).select("x.*")
-    # a component keeps one id, text and print: the texts move once, and rows that repeat them meet there
+    keys = found.groupBy("_root").agg(F.min(F.struct("_none", "_id", "_fp", "_th")).alias("x")).select("x.*")
+    # a group keeps one id, text and print: the texts move once, and rows that repeat them meet there
     kept = prints.join(keys, ["_none", "_id", "_fp", "_th"], "left_semi").dropDuplicates(["_none", "_id", "_fp", "_th"])
     return kept.select(*[f"c{i}" for i in range(n)]).toDF(*docs.columns)

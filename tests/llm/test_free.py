@@ -66,6 +66,16 @@ def test_simhash_against_brute_force(spark, odd):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(set(least.values()) | {None}, key=str)
 
 
+def test_deduplicated_keeps_one_of_each_linked_group(spark):
+    apart = [" ".join(f"{w}{i}" for w in PROSE.split()) for i in range(6)]
+    rows = [(None, t, "en", "a") for t in apart[:4]] + [(None, apart[0], "en", "b"), (5, apart[4], "en", "a"), (5, apart[5], "en", "a"), (6, apart[5], "en", "a"), (None, apart[5], "en", "a")]
+    prints = [plain_fingerprint(t) for t in apart]
+    assert len(set(plain_components(prints).values())) == 6
+    kept = simhash.deduplicated(docs(spark, rows).repartition(3))
+    want = [(None, t) for t in apart[:4]] + [(5, t) for t in apart[4:]]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("limit", [4096, 5])
 def test_links_of_random_and_chained_prints(spark, limit):
     rng = np.random.default_rng(4)
