@@ -450,4 +450,4 @@ def stream_ewma_by_type(spark, d):
     """The streaming EWMA over the event files, run to the end of what is there."""
     from ..streaming import replay_ewma
 
-    return replay_ewma(spark, f"{d}/events.parquet").select("key", "ts", r6("vol", "vol"))
+    return replay_ewma(spark, f"{d}/events.parquet").select("key", "ts", r6("vol", "vol"), "late")

@@ -283,6 +283,36 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.table("out_bars").count() >= 2 * 8
 
 
+def test_stream_keeps_rows_of_one_time(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from foldcast.plans.queries import stream_ewma_by_type
+    from foldcast.streaming import stream_ewma
+
+    rng = np.random.default_rng(9)
+    rows = [(i, 60 * (i // 5), "ab"[i % 2], float(v)) for i, v in enumerate(rng.normal(size=120))]
+    df = spark.createDataFrame(rows, "event_id long, s long, event_type string, value double")
+    df = df.select("event_id", F.timestamp_seconds("s").alias("ts"), "event_type", "value")
+    df.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = stream_ewma_by_type(spark, str(tmp_path)).collect()
+    src = str(tmp_path / "in")
+    for part in ("event_id < 61", "event_id >= 61", "event_id = 119"):  # cut between two rows of a time; the last again
+        df.where(part).coalesce(1).write.mode("append").parquet(src)
+    for k in "ab":
+        x = np.array([v for _, _, kk, v in rows if kk == k])
+        want = sorted(0.0 if math.isnan(z) else z for z in K.ewma(x, 0.94)[0].tolist())
+        mine = sorted(r.vol or 0.0 for r in got if r.key == k)
+        assert len(mine) == 60 and np.allclose(mine, want, atol=1e-6)
+    assert all(r.late == 0 for r in got)
+    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(src)
+    q = stream_ewma(s, "event_type", "ts", "value", tie="event_id").writeStream.format("memory").queryName("out_tied").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    parts = spark.table("out_tied").collect()
+    for k in "ab":
+        x = np.array([v for _, _, kk, v in rows if kk == k])
+        assert sorted(r.vol or 0.0 for r in parts if r.key == k) == sorted(0.0 if math.isnan(z) else z for z in K.ewma(x, 0.94)[0].tolist())
+
+
 def test_model_object(spark):
     from foldcast.operators.models import GarchModel
 
