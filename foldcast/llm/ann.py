@@ -60,10 +60,15 @@ def orders(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def search_file(q: np.ndarray, v: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one part of a file: (query row, vector row, score) of each query's best k + 1 by footrule, then score."""
+    """Of one part of a file: (query row, vector row, score) of each query's best k + 1 by footrule, then score.
+
+    Of equal scores the earlier rows of ``v`` are kept. The matrix product only preselects, with slack for its rounding:
+    queries with more than k + 1 rows in reach of the last are cut by their exact scores.
+    """
     qo = orders(q, pivots)[:, :PREFIX]
     rank = np.argsort(orders(v, pivots), axis=1).astype(np.int16).T.copy()
     most = max(LEAST_RERANK, math.ceil(SHARE * len(v)))
+    slack = 4 * v.shape[1] * np.finfo(float).eps * np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max())
     found = []
     for a in range(0, len(q), 512):
         some = qo[a : a + 512]
@@ -74,6 +79,12 @@ def search_file(q: np.ndarray, v: np.ndarray, pivots: np.ndarray, k: int) -> tup
         if most < len(v):  # what the footrule ranks behind is not reranked
             score[far > np.partition(far, most - 1, axis=1)[:, most - 1 : most]] = -np.inf
         top = np.argpartition(-score, k, axis=1)[:, : k + 1] if len(v) > k + 1 else np.broadcast_to(np.arange(len(v)), (len(some), len(v)))
+        if len(v) > k + 1:
+            reach = (np.take_along_axis(score, top, axis=1).min(axis=1) - slack[a : a + 512])[:, None]
+            for x in np.flatnonzero((score >= reach).sum(axis=1) > k + 1).tolist():
+                near = np.flatnonzero((score[x] >= reach[x]) & np.isfinite(score[x]))
+                if len(near) > k + 1:
+                    top[x] = near[np.argsort(-(q[a + x] * v[near]).sum(axis=1), kind="stable")[: k + 1]]
         i = np.repeat(np.arange(a, a + len(some)), top.shape[1])
         j = top.reshape(-1)
         ok = np.isfinite(score[i - a, j])
@@ -88,6 +99,8 @@ def searched(rows: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
     def best(group: tuple[list, list, list]) -> pa.RecordBatch:
         kind, cid, v = (np.concatenate(x) for x in group)
         i, j, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        order = np.argsort(cid, kind="stable")  # ties go to smaller ids
+        kind, cid, v = kind[order], cid[order], v[order]
         if kind.any() and not kind.all():
             i, j, s = search_file(v[kind], v[~kind], pivots, k)
         return pa.RecordBatch.from_arrays([pa.array(cid[kind][i], pa.int64()), pa.array(cid[~kind][j], pa.int64()), pa.array(s, pa.float64())], names=["qid", "cid", "score"])

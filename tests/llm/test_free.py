@@ -174,6 +174,17 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ties_at_the_cut_of_a_part():
+    rng = np.random.default_rng(3)
+    v = rng.permutation(np.array(list(np.ndindex(*[2] * 6)), float) * 2 - 1)  # 64 distinct vectors, 7 distinct scores
+    for scale in (1.0, 0.1):
+        i, j, s = ann.search_file(v[:9], v * scale, v[:5], 4)
+        for q in range(9):
+            score = (v[q] * v * scale).sum(axis=1)
+            mine = sorted(zip((-s[i == q]).tolist(), j[i == q].tolist(), strict=True))
+            assert mine == sorted(zip((-score).tolist(), range(64), strict=True))[:5]
+
+
 URLS = [("https://www.example.com/en/1", "www.example.com", "/en/1", "www.example.com/en/", "allow"), ("http://EXAMPLE.com/en/x?q=/a", "example.com", "/en/x", "example.com/en/", "block"), ("http://a.example.com/de/", "a.example.com", "/de/", "com/", "allow"),
         ("x://h.net/es/1#y", "h.net", "/es/1", "net/es/", "block"), ("https://net/fr/", "net", "/fr/", "net/fr/", "block"), ("https://example.com", "example.com", "", None, None), ("https://notcom/", "notcom", "/", None, None),
         (None, "", "", None, None), ("no scheme", "", "", None, None), ("a://b://c/d", "b:", "//c/d", None, None), ("https://h.org?x/y", "h.org", "", None, None), ("://com/\nx", "com", "/\nx", "com/", "allow")]
