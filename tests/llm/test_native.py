@@ -93,16 +93,17 @@ def line_rows():
     return rows
 
 
-def test_line_dedup_is_exact(spark, monkeypatch):
+def test_line_dedup_is_exact(spark, monkeypatch, tmp_path):
     rows = line_rows()
     want = plain_removed(rows)
-    for hot in (lines.HOT, 2):  # 2: most lists are hot, so the pivots decide
+    for hot, piece in ((lines.HOT, lines.PIECE), (2, lines.PIECE), (2, 5)):  # 2: most lists are hot, so the pivots decide
         monkeypatch.setattr(lines, "HOT", hot)
+        monkeypatch.setattr(lines, "PIECE", piece)
         d = docs(spark, rows).repartition(3)
-        per = {(r._id, r._th): r for r in lines.removed_lines(d).collect()}
-        key = {(r.doc_id, r.th): r.text or "" for r in d.select("doc_id", F.xxhash64("text").alias("th"), "text").collect()}
-        for k, text in key.items():
-            assert (per[k].removed if k in per else []) == want[(k[0], text)], k
+        d.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = {(r.doc_id, r.n_lines, r.removed_lines) for r in lines.op1_lines(spark, str(tmp_path)).collect()}
+        worded = lambda t: sum(1 for x in (t or "").split("\n") if WORD.search(x))
+        assert got == {(i, worded(t), ",".join(map(str, want[(i, t or "")]))) for i, t, _, _ in rows}
 
 
 def test_line_removal(spark):
@@ -204,7 +205,7 @@ def test_chat(spark):
 
 def test_empty_tables(spark, empty, tmp_path):
     assert quality.quality_rules(empty).count() == 0
-    assert lines.removed_lines(empty).count() == 0 and lines.without_lines(empty).count() == 0
+    assert lines.kept_lines(empty).count() == 0 and lines.without_lines(empty).count() == 0
     assert mixing.mixed_documents(empty).count() == 0
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert mixing.op2_mixing(spark, str(tmp_path)).count() == 0 and lines.op1_lines(spark, str(tmp_path)).count() == 0
