@@ -1,20 +1,22 @@
 """Approximate nearest neighbours with a permutation index.
 
-Every vector is represented by the order of its nearest pivots (Chavez, Figueroa, Navarro 2008) and posted in
-the inverted file of the nearest one. A query probes the files of its PROBE share of nearest pivots; there,
-vectors are ranked by the footrule distance between permutations (over the query's PREFIX nearest pivots), and
-the SHARE nearest are reranked by inner product in double precision.
+Every vector is represented by its DEPTH nearest pivots in order (Chavez, Figueroa, Navarro 2008) and posted in the
+inverted file of each of them, by id and rank (Amato, Savino 2008). A query looks only into the files of its own DEPTH
+nearest pivots; each posting there takes the two ranks' difference off the footrule distance (a pivot that isn't shared
+counts DEPTH). The RERANK * sqrt(n) vectors of least distance, and no others, are reranked by inner product in
+double precision.
 
-Pivots are a sample of at most PIVOTS vectors (those with the least hashes of their id); every vector is
-indexed. Equal vectors are one entry, with the K + 1 smallest of their ids: ties go to smaller ids, so no
-other id of theirs can be among a query's K nearest. Files are dealt into parts of at most about PART vectors
-and queries into blocks of about PART, so a task never holds a whole hot file.
+Pivots are a sample of vectors (those with the least hashes of their id), about the root of n, from LEAST_PIVOTS
+to MOST_PIVOTS; every vector is indexed. The index is partitioned by vector: a part holds about PART vectors dealt
+by hash and the files of these, and reranks its share of the candidates, so neither a hot file nor candidates are
+ever moved. Queries come in blocks of about PART. Equal vectors are one entry, with the K + 1 smallest of their ids: ties go to smaller
+ids, so no other id of theirs can be among a query's K nearest. Equal distances at the cut go to smaller ids.
 
-PROBE and SHARE are large because high-dimensional vectors without structure need it: measured recall at 20 is
-in the README.
+The root makes the share of reranked vectors fall with the size; measured recall and shares are in the README.
 
 Defined results: null, zero or non-finite vectors, and vectors of another length than the most usual one (of
-equally usual ones, the longest), take no part; equal rows are one row; null ids take no part.
+equally usual ones, the longest), take no part; equal rows are one row; null ids take no part; an empty table gives an
+empty result. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import ship_code, written
 
-PIVOTS = 128
-PREFIX = 32
-PROBE = 0.8
-LEAST_PROBE = 48
-SHARE = 0.4
-LEAST_RERANK = 64
+LEAST_PIVOTS, MOST_PIVOTS = 512, 4096
+DEPTH = 128
+RERANK = 12
 PART = 8192
 K = 20
+SALTS = 8
 
 
 def valid(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -54,123 +54,127 @@ def classes_of(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(ids.alias("ids")).select(F.col("ids")[0].alias("cid"), "ids", "v")
 
 
-def orders(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Pivot numbers of each row, nearest (by Euclidean distance) first."""
-    return np.argsort((pivots * pivots).sum(1) - 2 * v @ pivots.T, axis=1, kind="stable")
-
-
-def search_file(q: np.ndarray, v: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one part of a file: (query row, vector row, score) of each query's best k + 1 by footrule, then score.
-
-    Of equal scores the earlier rows of ``v`` are kept. The matrix product only preselects, with slack for its rounding:
-    queries with more than k + 1 rows in reach of the last are cut by their exact scores.
-    """
-    qo = orders(q, pivots)[:, :PREFIX]
-    rank = np.argsort(orders(v, pivots), axis=1).astype(np.int16).T.copy()
-    most = max(LEAST_RERANK, math.ceil(SHARE * len(v)))
-    slack = 4 * v.shape[1] * np.finfo(float).eps * np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max())
-    found = []
-    for a in range(0, len(q), 512):
-        some = qo[a : a + 512]
-        far = np.zeros((len(some), len(v)), np.int32)
-        for j in range(some.shape[1]):
-            far += np.abs(rank[some[:, j]] - np.int16(j))
-        score = q[a : a + 512] @ v.T
-        if most < len(v):  # what the footrule ranks behind is not reranked
-            score[far > np.partition(far, most - 1, axis=1)[:, most - 1 : most]] = -np.inf
-        top = np.argpartition(-score, k, axis=1)[:, : k + 1] if len(v) > k + 1 else np.broadcast_to(np.arange(len(v)), (len(some), len(v)))
-        if len(v) > k + 1:
-            reach = (np.take_along_axis(score, top, axis=1).min(axis=1) - slack[a : a + 512])[:, None]
-            for x in np.flatnonzero((score >= reach).sum(axis=1) > k + 1).tolist():
-                near = np.flatnonzero((score[x] >= reach[x]) & np.isfinite(score[x]))
-                if len(near) > k + 1:
-                    top[x] = near[np.argsort(-(q[a + x] * v[near]).sum(axis=1), kind="stable")[: k + 1]]
-        i = np.repeat(np.arange(a, a + len(some)), top.shape[1])
-        j = top.reshape(-1)
-        ok = np.isfinite(score[i - a, j])
-        found.append((i[ok], j[ok]))
-    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-    return i, j, (q[i] * v[j]).sum(axis=1)
-
-
-def searched(rows: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
-    """Rows (file, part, block, is_query, cid, v) -> (qid, cid, score) of each part and block."""
-
-    def best(group: tuple[list, list, list]) -> pa.RecordBatch:
-        kind, cid, v = (np.concatenate(x) for x in group)
+def orders(v: np.ndarray, pivots: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Numbers of each row's nearest pivots (by Euclidean distance), nearest first."""
+    far = (pivots * pivots).sum(1) - 2 * v @ pivots.T
+    return np.argsort(far, axis=1, kind="stable")[:, :depth].astype(np.uint16)
+
+
+class Files:
+    """The inverted files of a part's vectors: for each pivot, the rows that have it among their nearest, and its rank there."""
+
+    def __init__(self, order: np.ndarray, pivots: int):
+        self.n, self.depth = order.shape
+        flat = order.reshape(-1)
+        by = np.argsort(flat, kind="stable")
+        self.row = (by // self.depth).astype(np.int32)
+        self.rank = (by % self.depth).astype(np.int16)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=pivots))])
+        #: What a posting takes off the distance, by rank in the query and in the file.
+        self.gain = self.depth - np.abs(np.arange(self.depth)[:, None] - np.arange(self.depth)[None]).astype(np.int32)
+
+    def nearness(self, order: np.ndarray) -> np.ndarray:
+        """Of all rows: the footrule distance's complement, from the files of one query's pivots."""
+        out = np.zeros(self.n, np.int32)
+        for r, p in enumerate(order.tolist()):
+            a, z = self.start[p], self.start[p + 1]
+            out[self.row[a:z]] += self.gain[r][self.rank[a:z]]
+        return out
+
+
+def search_part(q: np.ndarray, qo: np.ndarray, v: np.ndarray, vo: np.ndarray, pivots: int, most: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one part: (query row, vector row, score) of each query's best k + 1 of the ``most`` by footrule; ties go to earlier rows."""
+    files, found = Files(vo, pivots), []
+    for i in range(len(q)):
+        near = files.nearness(qo[i])
+        if most < len(v):
+            cut = np.partition(near, len(v) - most)[len(v) - most]
+            above = np.flatnonzero(near > cut)
+            some = np.concatenate([above, np.flatnonzero(near == cut)[: most - len(above)]])
+        else:
+            some = np.arange(len(v))
+        score = (v[some] * q[i]).sum(axis=1)
+        best = np.lexsort((some, -score))[: k + 1]
+        found.append((np.full(len(best), i), some[best], score[best]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def searched(rows: DataFrame, pivots: int, share: float, k: int) -> DataFrame:
+    """Rows (part, block, is_query, cid, v, files) -> (qid, cid, score) of each part and block."""
+
+    def best(group: list[list]) -> pa.RecordBatch:
+        kind, cid, v, o = (np.concatenate(x) for x in group)
         i, j, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         order = np.argsort(cid, kind="stable")  # ties go to smaller ids
-        kind, cid, v = kind[order], cid[order], v[order]
+        kind, cid, v, o = kind[order], cid[order], v[order], o[order]
         if kind.any() and not kind.all():
-            i, j, s = search_file(v[kind], v[~kind], pivots, k)
+            most = max(k + 1, math.ceil(share * int((~kind).sum())))
+            i, j, s = search_part(v[kind], o[kind], v[~kind], o[~kind], pivots, most, k)
         return pa.RecordBatch.from_arrays([pa.array(cid[kind][i], pa.int64()), pa.array(cid[~kind][j], pa.int64()), pa.array(s, pa.float64())], names=["qid", "cid", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, ([], [], [])
+        now, group = None, [[], [], [], []]
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.stack([np.asarray(b.column(x)).astype(np.int64) for x in range(3)])
-            kind, cid = np.asarray(b.column(3).cast(pa.int8())) == 1, np.asarray(b.column(4))
-            v = np.asarray(b.column(5).flatten()).reshape(b.num_rows, -1)
+            key = np.stack([np.asarray(b.column(x)).astype(np.int64) for x in range(2)])
+            kind, cid = np.asarray(b.column(2).cast(pa.int8())) == 1, np.asarray(b.column(3))
+            v = np.asarray(b.column(4).flatten()).reshape(b.num_rows, -1)
+            o = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint16).reshape(b.num_rows, -1)
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 if now is not None and now != key[:, a].tolist():
                     yield best(group)
-                    group = ([], [], [])
+                    group = [[], [], [], []]
                 now = key[:, a].tolist()
-                for x, y in zip(group, (kind, cid, v), strict=True):
+                for x, y in zip(group, (kind, cid, v, o), strict=True):
                     x.append(y[a:z])
         if now is not None:
             yield best(group)
 
-    rows = rows.repartition("file", "part", "block").sortWithinPartitions("file", "part", "block")
+    rows = rows.repartition("part", "block").sortWithinPartitions("part", "block")
     return rows.mapInArrow(run, "qid long, cid long, score double")
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", rerank: float = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k nearest found rows of ``table`` but itself."""
     spark = table.sparkSession
     ship_code(spark)
     rows = valid(table, vec_id, vector)
     usual = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    dim = usual["d"] if usual else 0
-    of_dim = lambda x: x.where(F.size("v") == dim)
+    if not usual:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    of_dim = lambda x: x.where(F.size("v") == usual["d"])
     index = written(classes_of(of_dim(rows), k), "vectors")
     asked = of_dim(valid(queries, vec_id, vector)).distinct()
     by_vector = written(asked.groupBy("v").agg(F.min("vec_id").alias("qid")), "queries")
-    sample = index.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(PIVOTS).collect()  # at most PIVOTS vectors
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    pivots = np.array([r["v"] for r in sample])
-    probes = min(len(pivots), max(LEAST_PROBE, math.ceil(PROBE * len(pivots))))
-
-    def posted(count: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    near = orders(np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1), pivots)[:, :count]
-                    offsets = pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(near.reshape(-1).astype(np.int32)))], names=[*b.schema.names, "files"])
-        return run
-
-    vectors = written(index.select("cid", "v").mapInArrow(posted(1), "cid long, v array<double>, files array<int>").select("cid", "v", F.col("files")[0].alias("file")), "posted")
-    probing = by_vector.select("qid", "v").mapInArrow(posted(probes), "qid long, v array<double>, files array<int>")
-    blocks = max(1, math.ceil(by_vector.count() / PART))
-    sizes = vectors.groupBy("file").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))  # a row per pivot
-    deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    v = vectors.join(F.broadcast(sizes), "file").select("file", deal("cid", F.col("parts")).alias("part"), each(F.lit(blocks)).alias("block"), F.lit(False).alias("is_query"), "cid", "v")
-    q = probing.select("qid", "v", deal("qid", F.lit(blocks)).alias("block"), F.explode("files").alias("file")).join(F.broadcast(sizes), "file")
-    q = q.select("file", each(F.col("parts")).alias("part"), "block", F.lit(True).alias("is_query"), F.col("qid").alias("cid"), "v")
+    n = index.count()
+    size = min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << math.ceil(math.log2(max(1.0, math.sqrt(n))))))
+    pivots = np.array([r["v"] for r in index.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(size).collect()])
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = orders(np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1), pivots)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in near], pa.binary())], names=[*b.schema.names, "files"])
+
+    parts, blocks = math.ceil(n / PART), max(1, math.ceil(by_vector.count() / PART))
+    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    v = index.select("cid", "v").mapInArrow(posted, "cid long, v array<double>, files binary")
+    v = v.select(deal("cid", parts).alias("part"), each(blocks).alias("block"), F.lit(False).alias("is_query"), "cid", "v", "files")
+    q = by_vector.select("qid", "v").mapInArrow(posted, "qid long, v array<double>, files binary")
+    q = q.select(each(parts).alias("part"), deal("qid", blocks).alias("block"), F.lit(True).alias("is_query"), F.col("qid").alias("cid"), "v", "files")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    hits = searched(v.union(q), pivots, k).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).select("qid", "cid", "score")
+    hits = searched(v.union(q), len(pivots), rerank / math.sqrt(n), k).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).select("qid", "cid", "score")
     found = hits.join(index.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
     first = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).select("qid", "score", "vec_id")
-    # a query row's own id is the only one it may not have: k + 1 rows of its vector suffice
-    again = asked.join(by_vector.select("qid", F.col("v").alias("qv")), F.col("v") == F.col("qv")).select(F.col("vec_id").alias("query_id"), "qid")
-    out = again.join(found, "qid").where("query_id <> vec_id")
+    found = written(found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).select("qid", "score", "vec_id"), "found")
+    # a query row's own id is the only one it may not have: k + 1 rows of its vector suffice. Rows of one very common
+    # query vector meet its results in SALTS tasks
+    salted = lambda x: x.withColumn("salt", each(SALTS))
+    again = asked.withColumn("salt", F.pmod("vec_id", F.lit(SALTS)).cast("int")).join(salted(by_vector.select("qid", "v")), ["v", "salt"]).select(F.col("vec_id").alias("query_id"), "qid", "salt")
+    out = again.join(salted(found), ["qid", "salt"]).where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

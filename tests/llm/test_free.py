@@ -178,13 +178,46 @@ def test_ties_at_the_cut_of_a_part():
     rng = np.random.default_rng(3)
     v = rng.permutation(np.array(list(np.ndindex(*[2] * 6)), float) * 2 - 1)  # 64 distinct vectors, 7 distinct scores
     for scale in (1.0, 0.1):
-        i, j, s = ann.search_file(v[:9], v * scale, v[:5], 4)
+        o = ann.orders(v * scale, v[:5])
+        i, j, s = ann.search_part(v[:9], ann.orders(v[:9], v[:5]), v * scale, o, 5, 64, 4)
         for q in range(9):
             score = (v[q] * v * scale).sum(axis=1)
             mine = sorted(zip((-s[i == q]).tolist(), j[i == q].tolist(), strict=True))
             assert mine == sorted(zip((-score).tolist(), range(64), strict=True))[:5]
 
 
+def plain_footrule(a, b, depth):
+    """Distance of two orders: a pivot that one of them lacks counts ``depth``."""
+    rank = {p: r for r, p in enumerate(b)}
+    return sum(abs(r - rank[p]) if p in rank else depth for r, p in enumerate(a))
+
+
+@pytest.mark.parametrize("most", [7, 30])
+def test_only_the_nearest_by_footrule_are_reranked(most):
+    rng = np.random.default_rng(8)
+    v, q, pivots = rng.normal(size=(90, 6)), rng.normal(size=(5, 6)), rng.normal(size=(40, 6))
+    vo, qo = ann.orders(v, pivots, 12), ann.orders(q, pivots, 12)
+    i, j, s = ann.search_part(q, qo, v, vo, 40, most, 4)
+    files = ann.Files(vo, 40)
+    for x in range(5):
+        far = [plain_footrule(qo[x].tolist(), o.tolist(), 12) for o in vo]
+        assert (12 * 12 - files.nearness(qo[x])).tolist() == far
+        some = sorted(range(90), key=lambda r: (far[r], r))[:most]
+        want = sorted((-float(q[x] @ v[r]), r) for r in some)[:5]
+        assert j[i == x].tolist() == [r for _, r in want] and np.allclose(-s[i == x], [t for t, _ in want])
+
+
+def test_recall_where_the_footrule_cuts():
+    rng = np.random.default_rng(9)
+    for n in (2_000, 20_000):  # vectors without structure, the hardest kind
+        v = rng.normal(size=(n, 64))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        pivots, q = v[:512], v[-20:]
+        i, j, _ = ann.search_part(q, ann.orders(q, pivots), v, ann.orders(v, pivots), 512, int(ann.RERANK * n**0.5), 20)
+        best = np.argsort(-(q @ v.T), axis=1)[:, :20]
+        assert np.mean([len({*j[i == x][:20].tolist()} & {*best[x].tolist()}) / 20 for x in range(20)]) >= 0.9
+
+
 URLS = [("https://www.example.com/en/1", "www.example.com", "/en/1", "www.example.com/en/", "allow"), ("http://EXAMPLE.com/en/x?q=/a", "example.com", "/en/x", "example.com/en/", "block"), ("http://a.example.com/de/", "a.example.com", "/de/", "com/", "allow"),
         ("x://h.net/es/1#y", "h.net", "/es/1", "net/es/", "block"), ("https://net/fr/", "net", "/fr/", "net/fr/", "block"), ("https://example.com", "example.com", "", None, None), ("https://notcom/", "notcom", "/", None, None),
         (None, "", "", None, None), ("no scheme", "", "", None, None), ("a://b://c/d", "b:", "//c/d", None, None), ("https://h.org?x/y", "h.org", "", None, None), ("://com/\nx", "com", "/\nx", "com/", "allow")]
