@@ -223,20 +223,74 @@ URLS = [("https://www.example.com/en/1", "www.example.com", "/en/1", "www.exampl
         (None, "", "", None, None), ("no scheme", "", "", None, None), ("a://b://c/d", "b:", "//c/d", None, None), ("https://h.org?x/y", "h.org", "", None, None), ("://com/\nx", "com", "/\nx", "com/", "allow")]
 
 
+def plain_verdict(url, rules=urls.RULES):
+    """Host, path, rule and its verdict, by characters."""
+    u = url or ""
+    at = u.find("://")
+    if at < 0:
+        host = path = ""
+    else:
+        rest, i = u[at + 3 :], 0
+        while i < len(rest) and rest[i] not in "/?#":
+            i += 1
+        j = i
+        while j < len(rest) and rest[j] not in "?#":
+            j += 1
+        host, path = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:i]), rest[i:j]
+    best = (None, None)
+    for what, rule in rules:
+        h, p = rule[: rule.index("/")], rule[rule.index("/") :]
+        labels, mine = host.split("."), h.split(".")
+        if labels[len(labels) - len(mine) :] == mine and len(labels) >= len(mine) and path[: len(p)] == p and (best[0] is None or len(rule) > len(best[0])):
+            best = (rule, what)
+    return host, path, *best
+
+
 def test_urls(spark):
-    df = spark.createDataFrame([(i, u[0]) for i, u in enumerate(URLS)], "page_id long, url string").withColumn("host", F.lit("clash"))
+    odd = [u for u, *_ in URLS] + ["", "http://x.org/" + "a/b" * 40_000, "http://x.org/" + "a/b" * 40_000, "HTTP://WWW.EXAMPLE.COM/en/\u00c9", "https://sub.net/es/?x", "http://a.b.example.com/en/#f"]
+    df = spark.createDataFrame(list(enumerate(odd)), "page_id long, url string").withColumn("host", F.lit("clash")).repartition(3)
+    rows = urls.judged(df, keep=("page_id", "host")).toPandas()
+    assert list(rows.columns) == ["page_id", "host", "host", "path", "rule", "verdict", "block_score"] and len(rows) == len(odd)
     got = {r.page_id: r for r in urls.judged(df).collect()}
-    for i, (u, host, path, rule, verdict) in enumerate(URLS):
-        r = got[i]
+    for (u, *want) in URLS:
+        assert list(plain_verdict(u)) == want
+    model = urls.train(urls.labelled_urls())
+    for i, u in enumerate(odd):
+        r, (host, path, rule, said) = got[i], plain_verdict(u)
         assert (r.host, r.path, r.rule) == (host, path, rule), u
-        assert r.verdict == (verdict or ("block" if r.block_score >= 0.5 else "allow"))
         assert urls.split_url(u) == (host, path)
-    held = [("https://cheap-bets.example.org/en/9", 1), ("http://spam-pills.example.net/fr/3", 1), ("https://library.example.org/en/5", 0), ("https://blog.school.example.net/de/2", 0)]
-    more = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
-    assert {r.page_id: int(r.block_score >= 0.5) for r in urls.judged(more).collect()} == {i: y for i, (_, y) in enumerate(held)}
+        if rule:
+            assert r.verdict == said and r.block_score is None
+        else:
+            p = float(urls.scores(model, [host], [path])[0])
+            assert abs(r.block_score - p) < 1e-12 and r.verdict == ("block" if p >= 0.5 else "allow")
     assert urls.judged(df.limit(0)).count() == 0
 
 
+def test_url_features_are_those_of_each_row():
+    hosts, paths = ["a", "", "abc.de", "漢字.org"], ["/x/y", "", "/long/path/of/it", "/é"]
+    row, col = urls.features(hosts, paths)
+    for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
+        assert sorted(urls.features([h], [p])[1].tolist()) == sorted(col[row == i].tolist())
+    grams = {(m, n, t[k : k + n]) for m, t in enumerate(("^abc.de$", "^/long/path/of/it$")) for n in (3, 4, 5) for k in range(len(t) - n + 1)}
+    assert abs((row == 2).sum() - len(grams)) <= 2  # as many as there are n-grams, but for collisions
+
+
+def test_url_classifier_on_held_out_rows():
+    rows = urls.labelled_urls()
+    assert len(rows) > 500 and {y for _, y in rows} == {0, 1}
+    site = lambda u: urls.split_url(u)[0].removesuffix(".co.uk").split(".")
+    stem = lambda u: (site(u)[-1] if urls.split_url(u)[0].endswith(".co.uk") else site(u)[-2]).removeprefix("best-")[:5]
+    held = lambda u: zlib.crc32(stem(u).encode()) % 4 == 0  # noqa: E731  whole topics are held out
+    model = urls.train([x for x in rows if not held(x[0])])
+    test = [x for x in rows if held(x[0])]
+    p = urls.scores(model, *zip(*(urls.split_url(u) for u, _ in test), strict=True))
+    right = np.mean([(a >= 0.5) == bool(y) for a, (_, y) in zip(p.tolist(), test, strict=True)])
+    assert right >= 0.85, right
+    few = urls.train(rows, limit=50)[0]
+    assert (few == urls.train(rows[::-1], limit=50)[0]).all() and not (few == model[0]).all()
+
+
 def toxic_texts(n, seed):
     rng = np.random.default_rng(seed)
     words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("lo", "mi", "ran", "t", "sop")]
