@@ -9,16 +9,19 @@ Files of a shard, in one folder of the shared store:
   hashes the key at each level until its bit is set, ranks the bit, and compares the fingerprint: constant time.
 
 Shards come from a range partitioning of documents by (doc_id, text hash), so that a shard's ids and keys fit in
-one task; a key that very many rows share is split by text. A file is written under a name of its attempt, then
-renamed: a repeated or speculative attempt writes the same bytes.
+one task; a key that very many rows share is split by text, and equal rows by their place in the input. A file is written
+under a name of its attempt, then renamed: a repeated or speculative attempt writes the same bytes, and what ended attempts
+leave is removed.
 
-Shards hold about SHARD_BYTES of text each. Encoding memoizes pre-tokens (the tokenizer's own byte-level pattern splits texts, and its model encodes each
+Shards hold about SHARD_BYTES of text each; a longer text is a shard's alone, encoded whole. Encoding memoizes pre-tokens (texts
+are split at the tokenizer's added tokens, then by its byte-level pattern, and its model encodes each
 word that the worker doesn't hold), since the library's whole-text call costs several times that. Tests hold it
 to the whole-text call.
 
 Defined results: null texts have the end id only; rows that repeat a doc_id are documents of their own, keyed by
-(doc_id, number among its equals in the shard); an empty table gives no shards; special tokens in texts are
-ordinary text.
+(doc_id, number among its equals in the shard); an empty table gives no shards; a special token's string in a text is that
+token, as the library has it by default, or ordinary text with ``special_as_text``. Other columns aren't read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -36,10 +39,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import held
-from .common import documents, shared_dir, ship_code, written
+from .common import documents, drop_written, shared_dir, ship_code, written
 
 END = 2
 SHARD_BYTES = 32_000_000
+GROUP = 4096
 CACHE = 400_000
 GAMMA = 2.0
 MAGIC = b"FCIX0001"
@@ -48,12 +52,18 @@ MAGIC = b"FCIX0001"
 class Encoder(dict):
     """Pre-tokens and their ids as bytes; those it lacks are encoded by the tokenizer's model when asked for."""
 
-    def __init__(self, spec: str, pattern: str, width: int):
+    def __init__(self, spec: str, pattern: str, width: int, special_as_text: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         super().__init__()
         tokenizer = Tokenizer.from_str(spec)
+        added = [t for t in json.loads(spec).get("added_tokens") or [] if not (special_as_text and t["special"])]
+        if any(t.get(x) for t in added for x in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in their surroundings aren't supported")
+        self.added = {t["content"]: t["id"].to_bytes(width, "little") for t in added if t["content"]}
+        longest = sorted(self.added, key=lambda t: (-len(t), t))
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")").split if longest else None
         self.model, self.find = tokenizer.model, regex.compile(pattern).findall
         self.raw = [i.to_bytes(width, "little") for i in range(max(tokenizer.get_vocab().values(), default=0) + 1)]
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves in the alphabet
@@ -68,6 +78,8 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        if self.cut and any(t in text for t in self.added):
+            return b"".join(self.added[x] if k % 2 else b"".join(map(self.__getitem__, self.find(x))) for k, x in enumerate(self.cut(text)))
         return b"".join(map(self.__getitem__, self.find(text)))
 
 
@@ -166,15 +178,15 @@ def numbered(doc_id: list) -> np.ndarray:
     return i - np.maximum.accumulate(np.where(same, 0, i)) if len(i) else i
 
 
-def write_shards(docs: DataFrame, folder: str, spec: str, pattern: str, end: int, width: int, shard_bytes: int) -> DataFrame:
-    """(doc_id, th, text) -> files, and the catalogue of keys: (shard, doc_id, nth, n)."""
+def write_shards(docs: DataFrame, folder: str, spec: str, pattern: str, end: int, width: int, shard_bytes: int, special_as_text: bool) -> DataFrame:
+    """(doc_id, th, text, nth) -> files, and the catalogue of keys: (shard, doc_id, nth, n)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    sent, name = docs.sparkSession.sparkContext.broadcast(spec), f"encoder-{zlib.crc32(spec.encode())}-{zlib.crc32(pattern.encode())}-{width}"
+    sent, name = docs.sparkSession.sparkContext.broadcast(spec), f"encoder-{zlib.crc32(spec.encode())}-{zlib.crc32(pattern.encode())}-{width}-{special_as_text}"
     stop = np.array([end], f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = held(name, lambda: Encoder(sent.value, pattern, width)).encode
+        encode = held(name, lambda: Encoder(sent.value, pattern, width, special_as_text)).encode
         shard = TaskContext.get().partitionId()
         fs, path = filesystem(folder)
         mine = uuid.uuid4().hex
@@ -203,8 +215,21 @@ def write_shards(docs: DataFrame, folder: str, spec: str, pattern: str, end: int
             fs.move(f"{path}/{mine}.{kind}.part", f"{path}/{shard:06d}.{kind}")
         yield pa.RecordBatch.from_arrays([pa.array([shard] * len(n), pa.int64()), pa.array(doc_id, pa.int64()), pa.array(nth, pa.int64()), pa.array(n)], names=["shard", "doc_id", "nth", "n"])
 
-    ranged = docs.repartitionByRange(int(shards), "doc_id", "th").sortWithinPartitions("doc_id", "th")
-    return written(ranged.mapInArrow(run, "shard long, doc_id long, nth long, n long"), "catalogue")
+    ranged = docs.repartitionByRange(int(shards), "doc_id", "th", "nth").sortWithinPartitions("doc_id", "th")
+    out = written(ranged.select("doc_id", "th", "text").mapInArrow(run, "shard long, doc_id long, nth long, n long"), "catalogue")
+    drop_files(docs.sparkSession, folder, "*.part")
+    return out
+
+
+def drop_files(spark: SparkSession, folder: str, names: str | None = None) -> None:
+    """Remove a folder, or the files of these names in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if names is None:
+        fs.delete(at, True)
+    elif fs.exists(at):
+        for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, names)) or []:
+            fs.delete(f.getPath(), False)
 
 
 def read_back(keys: DataFrame, folder: str) -> DataFrame:
@@ -231,13 +256,22 @@ def read_back(keys: DataFrame, folder: str) -> DataFrame:
     return keys.select("shard", "doc_id", "nth").mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
 
 
-def write_tokens(docs: DataFrame, folder: str, spec: str, pattern: str, text: str = "text", key: str = "doc_id", end: int = END, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, spec: str, pattern: str, text: str = "text", key: str = "doc_id", end: int = END, shard_bytes: int = SHARD_BYTES, special_as_text: bool = False) -> DataFrame:
     """Encode, write the shards to ``folder`` (a URI that all executors reach), return the catalogue of keys."""
     ship_code(docs.sparkSession)
     width = 2 if max(json.loads(spec)["model"]["vocab"].values(), default=0) < 65_536 and end < 65_536 else 4
     t = F.col(f"`{text}`")
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"))
-    return write_shards(rows, folder, spec, pattern, end, width, shard_bytes)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"), F.monotonically_increasing_id().alias("nth"))
+    return write_shards(rows, folder, spec, pattern, end, width, shard_bytes, special_as_text)
+
+
+def shard_starts(keys: DataFrame) -> DataFrame:
+    """(s, base): ids before each shard, by prefix sums in two levels of GROUP shards."""
+    each = keys.groupBy(F.col("shard").alias("s")).agg(F.sum("n").alias("n")).withColumn("g", F.floor(F.col("s") / GROUP))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = each.groupBy(F.col("g").alias("h")).agg(F.sum("n").alias("n")).select("h", before(Window.orderBy("h")).alias("first"))
+    inner = each.withColumn("inner", before(Window.partitionBy("g").orderBy("s")))
+    return inner.join(groups, F.col("g") == F.col("h")).select("s", (F.col("first") + F.col("inner")).alias("base"))
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +281,7 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         spec = f.read()
     folder = f"{shared_dir(spark)}/foldcast/tokens-{uuid.uuid4().hex}"
     keys = write_tokens(documents(spark, sf_dir), folder, spec, public_tokenizers.PATTERN)
-    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
-    base = keys.groupBy(F.col("shard").alias("s")).agg(F.sum("n").alias("n")).select("s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return read_back(keys, folder).join(base, F.col("shard") == F.col("s")).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    back, base = written(read_back(keys, folder), "read_back"), written(shard_starts(keys), "starts")
+    drop_files(spark, folder)
+    drop_written(keys)
+    return back.join(base, F.col("shard") == F.col("s")).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -117,28 +117,51 @@ def test_bpe_round_trip(spark, odd):
     assert d[3].n_tokens == 0 and d[3].ids_sha256 == hashlib.sha256(b"").hexdigest()
 
 
-def test_token_files(spark, odd, tmp_path):
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_token_files(spark, odd, tmp_path, special_as_text):
     from tokenizers import Tokenizer
 
     spec = open(public_tokenizers.path("byte_bpe_50k.json")).read()
     tk = Tokenizer.from_str(spec)
-    tk.encode_special_tokens = True
+    if special_as_text:
+        tk.encode_special_tokens = True
+    more = docs(spark, [(700 + i, t, "en", "a") for i, t in enumerate(["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> <|endoftext|><|endoftext|>\n", "<|endoftext", "x  <|endoftext|>  y"])] + [(800, "the same row", "en", "a")] * 40)
+    odd = odd.union(more)
     folder = f"file://{tmp_path}/shards"
-    keys = tokens.write_tokens(odd, folder, spec, public_tokenizers.PATTERN, shard_bytes=40_000)
+    keys = tokens.write_tokens(odd, folder, spec, public_tokenizers.PATTERN, shard_bytes=40_000, special_as_text=special_as_text)
     assert keys.select("shard").distinct().count() > 1
+    assert not list((tmp_path / "shards").glob("*.part"))
     got = sorted(((r.shard, r.at, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_back(keys, folder).collect()))
     want = sorted((r.doc_id is not None, r.doc_id or 0, tuple(tk.encode(r.text or "", add_special_tokens=False).ids + [2])) for r in odd.collect())
+    assert any(50256 in w[2] for w in want) != special_as_text
     assert [(i is not None, i or 0) for _, _, i, _, _ in got] == [w[:2] for w in want]
     assert sorted((i or 0, n, c) for _, _, i, n, c in got) == sorted((i, len(t), zlib.crc32(np.array(t, "<u4").tobytes())) for _, i, t in want)
-    at = {}
+    base = {r.s: r.base for r in tokens.shard_starts(keys).collect()}
+    at, total = {}, 0
     for shard, start, _, n, _ in got:
-        assert start == at.get(shard, 0)
+        assert start == at.get(shard, 0) and base[shard] + start == total
         at[shard] = start + n
+        total += n
     shard = tokens.Shard(folder, 0)
     known = tokens.keys_of(np.array([999_999]), np.array([False]), np.array([0]))
     assert shard.find(known).tolist() == [-1]
 
 
+def test_token_query(spark, odd, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd.where("doc_id IS NOT NULL AND doc_id <> 2").write.parquet(f"{tmp_path}/a/documents.parquet")
+    rows, start, want = odd.where("doc_id IS NOT NULL AND doc_id <> 2").orderBy("doc_id").collect(), 0, set()
+    for r in rows:
+        t = tk.encode(r.text or "", add_special_tokens=False).ids + [2]
+        want.add((r.doc_id, start, len(t), zlib.crc32(np.array(t, "<u4").tobytes())))
+        start += len(t)
+    assert {tuple(r) for r in tokens.op9_tokens(spark, f"{tmp_path}/a").collect()} == want
+    empty.write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert tokens.op9_tokens(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_perfect_hash():
     keys = tokens.mixed(np.arange(5000, dtype=np.uint64), 5)
     levels, value = tokens.build_index(keys)
