@@ -15,8 +15,13 @@
 The permutation is swap-or-not (Hoang, Morris, Rogaway 2012): a bijection of [0, n) for any n, in integer
 arithmetic, that has an inverse.
 
+The draw decides which shard has which words (``first_shard`` of a document's words comes from it); what is taken in total
+is fixed by the targets.
+
 Defined results: null or blank texts have size 0 and are never taken; a null source is a source; rows that
-repeat are documents of their own; an empty table gives an empty mix.
+repeat are documents of their own; null ids come first in their bucket, which is by the text; an empty table gives an empty
+mix; a very long text reaches into many blocks, each a row. Kept columns travel under names of this module, so any name of
+theirs is fine.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ BUCKETS = 1024
 CHUNK = 8192
 PRIME = 2_147_483_647
 ROUNDS = 10
+#: Draws of so many shards of a source are summed in one task.
+GROUP = 4096
 
 
 def round_keys(seed: int) -> list[int]:
@@ -70,7 +77,8 @@ def placed(docs: DataFrame, keep: list[str], text: str = "text", source: str = "
     t, n = F.col(f"`{text}`"), len(keep)
     cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
     base = docs.select(*cols, F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(t).alias("_th"), F.col(f"`{source}`").alias("_source"), F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_size"))
-    base = base.withColumn("_bucket", (F.pmod(F.coalesce("_id", F.lit(0)), F.lit(PRIME)) * 48_271 + 11) % PRIME % BUCKETS)
+    by_id = (F.pmod("_id", F.lit(PRIME)) * 48_271 + 11) % PRIME % BUCKETS
+    base = base.withColumn("_bucket", F.when(F.col("_id").isNull(), F.pmod("_th", F.lit(BUCKETS))).otherwise(by_id))
     inner = Window.partitionBy("_source", "_bucket").orderBy("_id", "_th").rowsBetween(Window.unboundedPreceding, -1)
     local = written(base.withColumn("_local", F.coalesce(F.sum("_size").over(inner), F.lit(0))), "placed")
     outer = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,8 +121,12 @@ def counted_slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFra
     slots = dealt(chunks, "sid", "c").select("sid", "blocks", "total", stratum.alias("g"))
     slots = slots.select("sid", "blocks", permuted(F.col("g"), F.col("total"), F.lit(0), STRATUM_KEYS).alias("g"))
     drawn = slots.groupBy(F.floor(F.col("g") / shard_slots).alias("shard"), "sid", "blocks").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return drawn.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    drawn = drawn.withColumn("g", F.floor(F.col("shard") / GROUP))
+    before = lambda by, at: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = drawn.groupBy(F.col("sid").alias("h_sid"), F.col("g").alias("h")).agg(F.sum("n").alias("n")).select("h_sid", "h", before(["h_sid"], "h").alias("outer"))
+    inner = drawn.withColumn("inner", before(["sid", "g"], "shard"))
+    each = inner.join(groups, (F.col("sid") == F.col("h_sid")) & (F.col("g") == F.col("h")))
+    return each.select("shard", "sid", "blocks", "n", (F.col("outer") + F.col("inner")).alias("before"))
 
 
 def slots_of(drawn: DataFrame) -> DataFrame:
@@ -143,14 +155,19 @@ def pieces(at: DataFrame, block: int = BLOCK) -> DataFrame:
     return each.select("_sid", "_block", "_start", F.greatest("_start", F.col("_block") * block).alias("_from"), F.least("_end", (F.col("_block") + 1) * block).alias("_to"))
 
 
-def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at, _, slots = plan_mix(documents(spark, sf_dir), ["doc_id"])
-    times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    got = pieces(at).join(times.hint("merge"), (F.col("_sid") == F.col("sid")) & (F.col("_block") == F.col("block")))
-    got = got.groupBy(F.col("_sid").alias("g_sid"), F.col("_start").alias("g_start")).agg(F.sum((F.col("_to") - F.col("_from")) * F.col("times")).alias("taken"))
+def taken(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words, repeats counted), first_shard (the first that has words of it; -1: none)."""
+    at, _, slots = plan_mix(docs, ["doc_id"], block, shard_slots)
+    times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
+    got = pieces(at, block).join(times.hint("merge"), (F.col("_sid") == F.col("sid")) & (F.col("_block") == F.col("block")))
+    got = got.groupBy(F.col("_sid").alias("g_sid"), F.col("_start").alias("g_start")).agg(F.sum((F.col("_to") - F.col("_from")) * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"))
     # slots are exploded from a small table of sources, by whose size joins would be planned without the hints
     out = at.join(got.hint("merge"), (F.col("_sid") == F.col("g_sid")) & (F.col("_start") == F.col("g_start")) & (F.col("_size") > 0), "left")
-    return out.select(F.col("c0").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(F.col("c0").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("first_shard", F.lit(-1)).cast("long").alias("first_shard"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(documents(spark, sf_dir))
 
 
 def mixed_documents(docs: DataFrame, block: int = 256) -> DataFrame:
@@ -204,17 +221,23 @@ WITH d AS (
   SELECT *, least(cap, coalesce(w * lambda_, cap)) AS target, (source_size + {BLOCK - 1}) // {BLOCK} AS blocks FROM s4
 ), s6 AS (
   SELECT *, CASE WHEN source_size > 0 THEN round(target * blocks / source_size) ELSE 0 END::BIGINT AS slots FROM s5
+), s7 AS (
+  SELECT *, coalesce(sum(slots) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, (sum(slots) OVER ())::BIGINT AS total FROM s6
+), strata AS (
+  SELECT sid, blocks, total, unnest(range(first, first + slots)) AS g, 0 AS salt FROM s7 WHERE slots > 0
 ), j AS (
-  SELECT sid, blocks, unnest(range(slots)) % blocks AS block FROM s6 WHERE slots > 0
+  SELECT sid, blocks, g // {SHARD_SLOTS} AS shard, (row_number() OVER (PARTITION BY sid ORDER BY g) - 1) % blocks AS block
+  FROM ({_sql_permuted("g", "total", "salt", STRATUM_KEYS, "strata", "sid, blocks, total, salt")})
 ), taken_blocks AS (
-  SELECT sid, block, count(*) AS times FROM ({_sql_permuted("block", "blocks", "sid", BLOCK_KEYS, "j", "sid, blocks")}) GROUP BY sid, block
+  SELECT sid, block, count(*) AS times, min(shard) AS shard FROM ({_sql_permuted("block", "blocks", "sid", BLOCK_KEYS, "j", "sid, blocks, shard")}) GROUP BY sid, block
 ), pieces AS (
   SELECT p.doc_id, p.source, p.start, p.size, s6.sid, s6.source_size, s6.target,
          unnest(CASE WHEN p.size > 0 THEN range(p.start // {BLOCK}, (p.start + p.size - 1) // {BLOCK} + 1) ELSE [-1] END) AS block
   FROM p JOIN s6 ON p.source IS NOT DISTINCT FROM s6.source
 )
 SELECT doc_id, size, source_size, target,
-       sum(CASE WHEN size > 0 THEN (least(start + size, (x.block + 1) * {BLOCK}) - greatest(start, x.block * {BLOCK})) * coalesce(times, 0) ELSE 0 END)::BIGINT AS taken
+       sum(CASE WHEN size > 0 THEN (least(start + size, (x.block + 1) * {BLOCK}) - greatest(start, x.block * {BLOCK})) * coalesce(times, 0) ELSE 0 END)::BIGINT AS taken,
+       coalesce(min(t.shard), -1)::BIGINT AS first_shard
 FROM pieces x LEFT JOIN taken_blocks t ON t.sid = x.sid AND t.block = x.block
 GROUP BY doc_id, source, start, size, source_size, target
 """

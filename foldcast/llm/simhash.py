@@ -13,7 +13,9 @@ more. A block gives a star or chain for each of its linked parts (searching brea
 reached), not all pairs. Components: large-star, small-star rounds (Kiveris et al. 2014) over written tables.
 
 Defined results: null texts and texts without words have fingerprint zero, linked like any other; repeated
-rows get equal rows; ids may be null, then a component's id is its smallest other id (null if none).
+rows get equal rows; ids may be null, then a component's id is its smallest other id (null if none); an empty table gives an
+empty result; a very long text is hashed whole, its bits counted PART shingles at a time. Columns named like those of this
+module (_fp, _root and so on) are fine in :func:`deduplicated`, which renames all.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ BITS = 64
 LIMIT = 4096
 SHINGLE = 3
 PART = 65_536
+#: Documents of one fingerprint that one task joins.
+PIECE = 65_536
 
 
 def fingerprint(text: str | None) -> int:
@@ -171,12 +175,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """Rows with _fp (a written table) -> the same with _root (one fingerprint of the linked group, which tells groups
     apart) and _component (the smallest linked id, which groups without ids or with repeated ones can share)."""
-    nodes = written(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min(f"`{doc_id}`").alias("least")), "nodes")
+    nodes = written(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min(f"`{doc_id}`").alias("least"), F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")), "nodes")
     root = components(links(nodes.select("fp"), radius))
-    rooted = written(nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = written(nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", "pieces", F.coalesce("root", "fp").alias("root")), "rooted")
     best = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("_component"))
-    by = rooted.join(best, F.col("root") == F.col("r")).select(F.col("fp").alias("k_fp"), F.col("root").alias("_root"), "_component")
-    return prints.join(by, F.col("_fp") == F.col("k_fp")).drop("k_fp")
+    by = rooted.join(best, F.col("root") == F.col("r")).select(F.col("fp").alias("k_fp"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("k_piece"), F.col("root").alias("_root"), "_component")
+    # documents of a very common print meet it in pieces; the table of such prints is written, so that it is sent to all
+    # tasks only where its files are small
+    many = written(rooted.where("pieces > 1").select(F.col("fp").alias("l_fp"), "pieces"), "many")
+    dealt = prints.join(many, F.col("_fp") == F.col("l_fp"), "left").withColumn("_piece", F.coalesce((F.monotonically_increasing_id() % F.col("pieces")).cast("int"), F.lit(0)))
+    return dealt.join(by, (F.col("_fp") == F.col("k_fp")) & (F.col("_piece") == F.col("k_piece"))).select(*prints.columns, "_root", "_component")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +202,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     prints = written(prints.select("*", F.coalesce(doc_id, F.lit(0)).alias("_id"), F.col(doc_id).isNull().alias("_none"), F.xxhash64(text).alias("_th")), "prints")
     found = near_duplicates(prints.select(F.col(doc_id).alias("doc_id"), "_fp", "_none", "_id", "_th"))
     keys = found.groupBy("_root").agg(F.min(F.struct("_none", "_id", "_fp", "_th")).alias("x")).select("x.*")
-    # a group keeps one id, text and print: the texts move once, and rows that repeat them meet there
-    kept = prints.join(keys, ["_none", "_id", "_fp", "_th"], "left_semi").dropDuplicates(["_none", "_id", "_fp", "_th"])
+    # rows that repeat an id and text are one before their texts move, and move once
+    kept = prints.dropDuplicates(["_none", "_id", "_fp", "_th"]).join(keys, ["_none", "_id", "_fp", "_th"], "left_semi")
     return kept.select(*[f"c{i}" for i in range(n)]).toDF(*docs.columns)

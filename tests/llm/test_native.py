@@ -175,19 +175,80 @@ def test_shards_draw_all_slots(spark):
         assert not times or max(times.values()) - min(times.get(b, 0) for b in range(r.blocks)) <= 1
 
 
-def test_mixed_documents(spark, odd):
-    got = mixing.mixed_documents(odd, 8)
-    assert got.columns == odd.columns
-    texts = {}
-    for r in odd.collect():
-        texts.setdefault(r.doc_id, []).append(r.text or "")
-    seen = Counter()
-    for r in got.collect():
-        w = r.text.split()
-        assert w and r.n_chars == len(r.text)
-        assert any(r.text == t or set(w) <= set(t.split()) for t in texts[r.doc_id])
-        seen[r.doc_id] += 1
-    assert max(seen.values()) <= 3 * 3
+def plain_permuted(x, n, salt, keys):
+    for c in keys:
+        k = c + salt * 15_485_863
+        y = (k % n + n - x) % n
+        r = ((max(x, y) % mixing.PRIME) * (k % mixing.PRIME) + k % 1_000_003) % mixing.PRIME
+        x = y if (r * r % mixing.PRIME) >> 12 & 1 else x
+    return x
+
+
+def plain_mix(sizes_of, block, shard_slots):
+    """{source: [(shard, pass, block)]} of a mix: the draw of each shard, and where its slots lead."""
+    sizes = Counter()
+    for s, n in sizes_of:
+        sizes[s] += n
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goal, first, slots = fill(sizes), 0, {}
+    for s in names:
+        blocks = -(-sizes[s] // block)
+        slots[s] = (first, int(goal[s] * blocks / sizes[s] + 0.5) if sizes[s] else 0, blocks)
+        first += slots[s][1]
+    out = {}
+    for sid, s in enumerate(names, 1):
+        start, n, blocks = slots[s]
+        places = sorted(plain_permuted(g, first, 0, mixing.STRATUM_KEYS) for g in range(start, start + n))
+        out[s] = [(p // shard_slots, j // blocks, plain_permuted(j % blocks, blocks, sid, mixing.BLOCK_KEYS)) for j, p in enumerate(places)]
+    return out
+
+
+def stream_order(rows):
+    """Documents of a source in the order of its stream: by bucket of the id, id, then (as tests have it) as given."""
+    return sorted(rows, key=lambda r: ((r[0] % mixing.PRIME * 48_271 + 11) % mixing.PRIME % mixing.BUCKETS, r[0]))
+
+
+def plain_mixed(rows, block, shard_slots=mixing.SHARD_SLOTS):
+    """Rows (id, text, source) of the mix, and {id: first shard}."""
+    words_of = lambda t: WORD.findall(t or "")
+    plan = plain_mix([(s, len(words_of(t))) for _, t, s in rows], block, shard_slots)
+    out, shard_of = [], {}
+    for s, slots in plan.items():
+        own, stream = stream_order([r for r in rows if r[2] == s]), []
+        for i, t, _ in own:
+            stream += [(i, k) for k in range(len(words_of(t)))]
+        text = {i: t for i, t, _ in own}
+        got = {}
+        for shard, nth, b in slots:
+            for i, k in stream[b * block : (b + 1) * block]:
+                got.setdefault((i, nth), set()).add(k)
+                shard_of[i] = min(shard, shard_of.get(i, shard))
+        for (i, _), ks in got.items():
+            w = words_of(text[i])
+            out.append((i, text[i] if len(ks) == len(w) else " ".join(w[k] for k in sorted(ks)), s))
+    return out, shard_of
+
+
+def mix_rows():
+    return [(i, " ".join(f"v{i}_{k}" for k in range(5 + i * 7 % 60)) + "\n" * (i % 2), "abcde"[i % 5] if i % 7 else None) for i in range(90)] + [(500, "", "a"), (501, None, "b"), (502, "x " * 400, "e")]
+
+
+def test_mixed_documents(spark):
+    rows = mix_rows()
+    df = docs(spark, [(i, t, "en", s) for i, t, s in rows]).repartition(3)
+    got = mixing.mixed_documents(df, 8)
+    assert got.columns == df.columns
+    got = got.collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(plain_mixed(rows, 8)[0])
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_the_draw_decides_shards(spark):
+    rows = mix_rows()
+    df = docs(spark, [(i, t, "en", s) for i, t, s in rows]).repartition(3)
+    first = {r.doc_id: r.first_shard for r in mixing.taken(df, 8, 50).collect()}
+    want = plain_mixed(rows, 8, 50)[1]
+    assert first == {i: want.get(i, -1) for i, _, _ in rows} and len(set(want.values())) > 2
 
 
 def test_chat(spark):
