@@ -13,7 +13,8 @@ longer document is a block of its own). The vocabulary file is read on the drive
 broadcast.
 
 Defined results: null texts are empty texts, with no ids; repeated rows get a row each; an empty table gives
-an empty result; special tokens in texts are ordinary text.
+an empty result; special tokens in texts are ordinary text; only the key and the text are read, so other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import documents, ship_code, written
 
 BLOCK = 24_000_000
+HELD, LONG = 1_000_000, 256
 
 
 def rank_lines(path: str) -> bytes:
@@ -158,7 +160,8 @@ def exploded(docs: DataFrame, text: str, key: str, pattern: str, buckets: int, b
 
 
 def encoded_words(rows: DataFrame, ranks, name: str, pattern: str, buckets: int) -> DataFrame:
-    """Word lists -> lists of their ids, each distinct word of a task encoded once."""
+    """Word lists -> lists of their ids, each distinct word of a bucket encoded once (but for words beyond HELD, or over
+    LONG bytes, which aren't held: a task's memory is bounded whatever the vocabulary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -169,10 +172,15 @@ def encoded_words(rows: DataFrame, ranks, name: str, pattern: str, buckets: int)
             data = []
             for blob in b.column(2):
                 words = words_in(blob.as_py())
+                ids = []
                 for w in words:
-                    if w not in done:
-                        done[w] = np.array(enc.encode_ordinary(w.decode()), np.uint32)
-                data.append(packed_lists([done[w] for w in words]))
+                    got = done.get(w)
+                    if got is None:
+                        got = np.array(enc.encode_ordinary(w.decode()), np.uint32)
+                        if len(done) < HELD and len(w) <= LONG:
+                            done[w] = got
+                    ids.append(got)
+                data.append(packed_lists(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary()), b.column(3)], names=["block", "bucket", "data", "ids"])
 
     return rows.repartition(buckets, "bucket").mapInArrow(run, rows.schema)

@@ -5,17 +5,21 @@ toxic documents hold much more often than clean ones (by a likelihood ratio agai
 number of candidates) marks its tokens as toxic in toxic documents; all tokens of clean documents are clean.
 
 The field has two states (clean, toxic). A token's toxic potential is the sum of hashed weights of its word,
-prefixes and suffix; four transition weights tie neighbours. Chains are runs of at most CHAIN tokens of one
-document. It is trained on the driver by gradient ascent of the penalized likelihood, from at most MAX_TRAIN
-toxic and twice as many clean documents (those with the least hashes of their id): a documented, fixed bound.
-Near copies among these count once. Nothing but text is an input of a score.
-
-Forward-backward gives each token's toxic marginal (scaled, for all chains of a batch at once). Documents are
+prefixes and suffix; four transition weights tie neighbours. A document is one chain, however long. The field is trained on
+the driver by gradient ascent of the penalized likelihood, from a bounded sample: at most ``limit`` toxic and twice as many
+clean documents (those with the least hashes of their id), each of at most ``most_chars`` characters and of one row; of their
+runs of RUN tokens all that hold a toxic one, and one in ``clean_runs`` of the others. Near copies among these documents count
+once. Nothing but text is an input of a score.
+
+Forward-backward gives each token's toxic marginal (scaled, for all documents of a batch at once: pieces of CHAIN tokens are
+run side by side, and their transfer matrices carry the messages from piece to piece, so nothing is cut). Documents are
 scored by a logistic regression on aggregates of the marginals: the expected number of toxic tokens, the two
 largest marginals, and the expected share. Offending offsets are those of tokens with a marginal of at least SPAN.
 
 Defined results: null and empty texts score as texts without tokens; repeated rows get a row each; without labels
-of both kinds every score is the share of toxic labels (0 if there are none); null ids are never held out.
+of both kinds every score is the share of toxic labels (0 if there are none); null ids are never held out nor learnt
+from; an empty table gives an empty result; very long texts are scored whole; only doc_id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,8 +39,9 @@ from .bpe import held
 from .common import documents, ship_code
 
 BITS = 18
-CHAIN = 64
+CHAIN, RUN = 64, 64
 MAX_TRAIN = 1500
+MOST_CHARS = 50_000
 THRESHOLD = 0.3
 SPAN = 0.5
 CACHE = 200_000
@@ -103,34 +108,36 @@ def first_of_copies(texts: list[str]) -> list[int]:
     return out
 
 
-def chains(scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token scores of documents -> (chain length, row of each token, place of each token)."""
+def pieces(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents' tokens, in pieces of CHAIN: (piece length, its number in its document, row of each token, its place)."""
     start = np.cumsum(sizes) - sizes
-    inside = np.arange(len(scores)) - np.repeat(start, sizes)
+    inside = np.arange(int(sizes.sum())) - np.repeat(start, sizes)
     place = inside % CHAIN
     row = np.cumsum(place == 0) - 1
-    return np.bincount(row), row, place
+    return np.bincount(row), inside[place == 0] // CHAIN, row, place
 
 
 def marginals(score: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Toxic marginals of all tokens, summed pair marginals (2 by 2), log partition of all chains."""
     if not len(score):
         return np.zeros(0), np.zeros((2, 2)), 0.0
-    length, row, place = chains(score, sizes)
-    order = np.argsort(-length, kind="stable")  # longest first: at each place the chains that reach it come first
+    length, nth, row, place = pieces(sizes)
+    order = np.argsort(-length, kind="stable")  # longest first: at each place the pieces that reach it come first
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
     row, length = back[row], length[order]
     deep, n = int(length[0]), len(length)
     e = np.zeros((deep, n))
     e[place, row] = score
-    live = [int(np.searchsorted(-length, -k, side="left")) for k in range(deep)]  # chains longer than k
+    live = [int(np.searchsorted(-length, -k, side="left")) for k in range(deep)]  # pieces longer than k
     m = np.exp(trans)
-    alpha, beta = np.zeros((deep, 2, n)), np.ones((deep, 2, n))
-    log_z = 0.0
     x = np.exp(e - np.maximum(e, 0))  # scaled by the larger potential
     c = np.exp(-np.maximum(e, 0))
-    a0, a1 = c[0].copy(), x[0].copy()
+    into, after, before = carried(c, x, m, live, nth, back)
+    alpha, beta = np.zeros((deep, 2, n)), np.ones((deep, 2, n))
+    beta[length - 1, :, np.arange(n)] = after.T
+    log_z = 0.0
+    a0, a1 = into[0] * c[0], into[1] * x[0]
     for k in range(deep):
         r = live[k]
         if k:
@@ -140,20 +147,56 @@ def marginals(score: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> tuple[
         alpha[k, 0, :r], alpha[k, 1, :r] = a0 / z, a1 / z
         log_z += float(np.log(z).sum() + np.maximum(e[k, :r], 0).sum())
     pair = np.zeros((2, 2))
-    for k in range(deep - 1, 0, -1):
-        r = live[k]
-        b0, b1 = beta[k, 0, :r] * c[k, :r], beta[k, 1, :r] * x[k, :r]
+
+    def met(p0, p1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
         y0, y1 = m[0, 0] * b0 + m[0, 1] * b1, m[1, 0] * b0 + m[1, 1] * b1
-        p0, p1 = alpha[k - 1, 0, :r], alpha[k - 1, 1, :r]
         total = p0 * y0 + p1 * y1
-        pair += [[float((p0 * m[0, 0] * b0 / total).sum()), float((p0 * m[0, 1] * b1 / total).sum())], [float((p1 * m[1, 0] * b0 / total).sum()), float((p1 * m[1, 1] * b1 / total).sum())]]
+        pair[0] += float((p0 * m[0, 0] * b0 / total).sum()), float((p0 * m[0, 1] * b1 / total).sum())
+        pair[1] += float((p1 * m[1, 0] * b0 / total).sum()), float((p1 * m[1, 1] * b1 / total).sum())
+        return y0, y1
+
+    for k in range(deep - 1, 0, -1):
+        r = live[k]
+        y0, y1 = met(alpha[k - 1, 0, :r], alpha[k - 1, 1, :r], beta[k, 0, :r] * c[k, :r], beta[k, 1, :r] * x[k, :r])
         z = y0 + y1
         beta[k - 1, 0, :r], beta[k - 1, 1, :r] = y0 / z, y1 / z
+    if nth.any():  # neighbours on two sides of a seam
+        s = back[np.flatnonzero(nth)]
+        met(before[0, s], before[1, s], beta[0, 0, s] * c[0, s], beta[0, 1, s] * x[0, s])
     u0, u1 = alpha[:, 0] * beta[:, 0], alpha[:, 1] * beta[:, 1]
     p = u1 / np.maximum(u0 + u1, 1e-300)
     return p[place, row], pair, log_z
 
 
+def carried(c: np.ndarray, x: np.ndarray, m: np.ndarray, live: list[int], nth: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The messages over the seams of pieces: into each piece's first token, back to its last one, and the state
+    distribution (forward only) of the token before it."""
+    n = c.shape[1]
+    into, after, before = np.ones((2, n)), np.ones((2, n)), np.zeros((2, n))
+    if not nth.any():
+        return into, after, before
+    t = np.zeros((2, 2, n))  # from the first token's state to the last one's, up to a factor
+    t[0, 0], t[1, 1] = c[0], x[0]
+    for k in range(1, len(live)):
+        r = live[k]
+        n0, n1 = (t[:, 0, :r] * m[0, 0] + t[:, 1, :r] * m[1, 0]) * c[k, :r], (t[:, 0, :r] * m[0, 1] + t[:, 1, :r] * m[1, 1]) * x[k, :r]
+        z = n0.sum(0) + n1.sum(0)
+        t[:, 0, :r], t[:, 1, :r] = n0 / z, n1 / z
+    by = np.argsort(nth, kind="stable")
+    cuts = np.searchsorted(nth[by], np.arange(1, nth.max() + 2))
+    steps = [by[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]  # the second pieces of documents, the third, ...
+    for own in steps:
+        q, p = back[own], back[own - 1]
+        a = (into[:, None, p] * t[:, :, p]).sum(0)
+        before[:, q] = a / a.sum(0)
+        into[:, q] = m.T @ before[:, q]
+    for own in reversed(steps):
+        q, p = back[own], back[own - 1]
+        g = m @ (t[:, :, q] * after[None, :, q]).sum(1)
+        after[:, p] = g / g.sum(0)
+    return into, after, before
+
+
 def aggregates(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Per document: 1, log(1 + expected toxic tokens), largest and second largest marginal, root of the share."""
     out = np.zeros((len(sizes), 5))
@@ -181,8 +224,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndar
     return w
 
 
-def train(texts: list[str], toxic: list[int], steps: int = 40, rate: float = 0.3, penalty: float = 1e-6) -> dict:
-    """Token labels, the field by Adam on the log-likelihood, then the document scores; deterministic."""
+def train(texts: list[str], toxic: list[int], clean_runs: int = 4, steps: int = 40, rate: float = 0.3, penalty: float = 1e-6) -> dict:
+    """Token labels, the field by Adam on the log-likelihood, then the document scores; deterministic.
+
+    The field learns from all runs of RUN tokens that hold a toxic one, and from one in ``clean_runs`` of the others.
+    """
     some = first_of_copies(texts)
     texts, y_doc = [texts[i] for i in some], np.array([toxic[i] for i in some], bool)
     size = 1 << BITS
@@ -191,22 +237,19 @@ def train(texts: list[str], toxic: list[int], steps: int = 40, rate: float = 0.3
         return model
     marks = marking(texts, y_doc)
     memo: dict[str, tuple[list[int], bool]] = {}
-    feats, label, sizes, chain_docs = [], [], [], []
+    feats, label, sizes = [], [], []
     for t, bad in zip(texts, y_doc.tolist(), strict=True):
         words = t.split()
-        kept = 0
-        for a in range(0, len(words), CHAIN):
-            run = words[a : a + CHAIN]
+        for a in range(0, len(words), RUN):
+            run = words[a : a + RUN]
             for w in run:
                 if w not in memo:
                     memo[w] = (hashed(w), any(x in marks for x in parts_of(w)))
             tags = [bad and memo[w][1] for w in run]
-            if any(tags) or zlib.crc32(" ".join(run[:4]).encode()) % 4 == 0:  # chains without a toxic token: a quarter
+            if any(tags) or zlib.crc32(" ".join(run[:4]).encode()) % clean_runs == 0:
                 feats += [memo[w][0] for w in run]
                 label += tags
                 sizes.append(len(run))
-                kept += 1
-        chain_docs.append(kept)
     size_arr = np.array(sizes)
     lab = np.array(label, bool)
     tok = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
@@ -273,13 +316,19 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), spans
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> list[tuple[str, int]]:
-    """At most ``limit`` toxic texts and twice as many clean ones, none held out, in order of id."""
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, most_chars: int = MOST_CHARS) -> list[tuple[str, int]]:
+    """At most ``limit`` toxic texts and twice as many clean ones, none held out nor longer than ``most_chars``, in order of id.
+
+    Of rows that repeat an id one is taken (that with the least hash of its text), before anything is collected: the
+    driver gets at most 3 * limit * most_chars characters.
+    """
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = [ids.where(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit * (2 - y)) for y in (0, 1)]
     few = F.broadcast(pick[0].union(pick[1]))  # at most three times the limit
-    rows = docs.join(few, "doc_id").select("doc_id", "text", "toxic").collect()
-    return [(t or "", y) for _, t, y in sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows)]
+    text = F.coalesce("text", F.lit(""))
+    own = docs.join(few, "doc_id").select("doc_id", text.alias("text"), "toxic").where(F.length("text") <= most_chars)
+    rows = own.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("x")).select("doc_id", "x.text", "x.toxic").collect()
+    return [(t, y) for _, t, y in sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)]
 
 
 def toxicity(docs: DataFrame, model: dict) -> DataFrame:
