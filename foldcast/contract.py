@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -104,15 +105,57 @@ def positive(value: float, name: str) -> float:
     return out
 
 
-def timed(c: Column, name: str, timing: str) -> Column:
-    """The column under a name, with its timing class as metadata."""
-    return c.alias(name, metadata={"timing": timing})
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, read from the session.
+
+    Only a session in one process may lack it; it gets a folder of its own, which its executors see too.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="foldcast-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def timed(c: Column, name: str, timing: str, ahead: int | None = None) -> Column:
+    """The column under a name, with its timing class as metadata.
+
+    ``ahead`` is how many periods it must be lagged by until it is known before its own period.
+    """
+    least = {PREDICTIVE: 0, CONTEMPORANEOUS: 1, FORWARD: 1}[timing]
+    return c.alias(name, metadata={"timing": timing, "ahead": least if ahead is None else ahead})
 
 
 def timing_of(df: DataFrame, name: str) -> str | None:
     return (df.schema[name].metadata or {}).get("timing")
 
 
-def with_timed(df: DataFrame, c: Column, name: str, timing: str) -> DataFrame:
+def reach_of(df: DataFrame, *names: str) -> tuple[str, int]:
+    """Class and ``ahead`` of what is made of these columns of the same rows and earlier ones: the latest known decides.
+
+    A column without a class counts as contemporaneous.
+    """
+    each = [(df.schema[n].metadata or {}) for n in names]
+    each = [(m.get("timing", CONTEMPORANEOUS), int(m.get("ahead", 0 if m.get("timing") == PREDICTIVE else 1))) for m in each]
+    return max(each, key=lambda x: (x[1], x[0] == FORWARD))
+
+
+def lagged(timing: str, ahead: int, periods: int) -> tuple[str, int]:
+    """Class and ``ahead`` after a lag: what looks ahead stays so until it is lagged by all it looks ahead."""
+    left = ahead - periods
+    return (timing, left) if left > 0 else (PREDICTIVE, max(left, 0))
+
+
+def with_timed(df: DataFrame, c: Column, name: str, timing: str, ahead: int | None = None) -> DataFrame:
     """``df`` with one more column (or that one replaced)."""
-    return df.select(*[F.col(f"`{x}`") for x in df.columns if x != name], timed(c, name, timing))
+    return df.select(*[F.col(f"`{x}`") for x in df.columns if x != name], timed(c, name, timing, ahead))
+
+
+def declared(df: DataFrame, name: str, timing: str) -> DataFrame:
+    """``df`` whose column has this class, on the caller's word: for columns that expressions made, which have none."""
+    if timing not in (PREDICTIVE, CONTEMPORANEOUS, FORWARD):
+        raise ValueError(f"no timing class: {timing!r}")
+    return df.select(*[timed(F.col(f"`{x}`"), x, timing) if x == name else F.col(f"`{x}`") for x in df.columns])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contract import GARCH_MAX_PERSISTENCE, SMALLEST_NORMAL, positive
+from . import garch as G
 
 INF = float("inf")
 
@@ -64,10 +65,13 @@ def vol_target_position(sigma: Column | str, target_vol: float, equity: float, p
     """
     target_vol, equity, max_leverage = positive(target_vol, "target_vol"), positive(equity, "equity"), positive(max_leverage, "max_leverage")
     most = positive(max_leverage * equity, "max_leverage * equity")
-    s, p = _c(sigma).cast("double"), _c(price).cast("double")
+    return _sized(_c(sigma).cast("double"), F.lit(target_vol), F.lit(equity), _c(price).cast("double"), F.lit(most))
+
+
+def _sized(s: Column, target: Column, equity: Column, p: Column, most: Column) -> Column:
     ok = is_finite(s) & (s > 0) & is_finite(p) & (p > 0)
-    free = F.when(ok, F.lit(target_vol) / s * (F.lit(equity) / p))
-    held = F.when(free * p > F.lit(most), F.lit(most) / p).otherwise(free)
+    free = F.when(ok, target / s * (equity / p))
+    held = F.when(free * p > most, most / p).otherwise(free)
     return F.when(is_finite(held) & (held >= F.lit(SMALLEST_NORMAL)), held).otherwise(F.lit(0.0))
 
 
@@ -91,12 +95,12 @@ def valid_garch(omega: Column | str, alpha: Column | str, beta: Column | str) ->
 
 
 def persistence(alpha: Column | str, beta: Column | str) -> Column:
-    return _c(alpha) + _c(beta)
+    return G.persistence_of(_c(alpha), _c(beta))
 
 
 def unconditional_variance(omega: Column | str, alpha: Column | str, beta: Column | str) -> Column:
     p = persistence(alpha, beta)
-    return F.when(p != 1, _c(omega) / (1 - p))
+    return F.when(p != 1, G.variance_of(_c(omega), p))
 
 
 def unconditional_vol(omega: Column | str, alpha: Column | str, beta: Column | str) -> Column:
@@ -107,7 +111,7 @@ def unconditional_vol(omega: Column | str, alpha: Column | str, beta: Column | s
 def half_life(alpha: Column | str, beta: Column | str) -> Column:
     """Periods until a variance shock has halved: 0 without persistence, infinite at 1 or more."""
     p = persistence(alpha, beta)
-    return F.when(p <= 0, F.lit(0.0)).when(p >= 1, F.lit(INF)).otherwise(F.lit(math.log(0.5)) / F.log(p))
+    return F.when(p <= 0, F.lit(0.0)).when(p >= 1, F.lit(INF)).otherwise(G.half_life_of(F.log(p)))
 
 
 def period_vol(annual: Column | str | float, periods_per_year: float) -> Column:
@@ -126,15 +130,26 @@ def log_return(price: Column, before: Column) -> Column:
 
 
 def register_sql(spark: SparkSession) -> list[str]:
-    """Temporary SQL functions of the row-local operators; they are inlined, so they stay in Catalyst."""
-    finite = "coalesce(abs({0}) < double('Infinity'), false)".format
-    bar = f"{finite('high')} AND {finite('low')} AND low > 0 AND high >= low"
-    body = {
-        "parkinson_vol(high DOUBLE, low DOUBLE)": f"CASE WHEN {bar} THEN abs(ln(high / low)) / sqrt(4 * ln(2D)) END",
-        "garman_klass_vol(open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE)": f"CASE WHEN {bar} AND {finite('open')} AND {finite('close')} AND open BETWEEN low AND high AND close BETWEEN low AND high THEN sqrt(greatest(0D, 0.5D * ln(high / low) * ln(high / low) - (2 * ln(2D) - 1) * ln(close / open) * ln(close / open))) END",
-        "vol_target_position(sigma DOUBLE, target DOUBLE, equity DOUBLE, price DOUBLE, leverage DOUBLE)": f"CASE WHEN {finite('sigma')} AND sigma > 0 AND {finite('price')} AND price > 0 THEN least(target / sigma * (equity / price), leverage * equity / price) ELSE 0D END",
-        "period_vol(annual DOUBLE, periods DOUBLE)": "annual / sqrt(periods)",
+    """Temporary SQL functions of the row-local operators: the column forms' own expressions, so they stay in Catalyst.
+
+    Where a column form refuses an argument (a target, an equity, a number of periods that isn't finite and over 0), the
+    SQL form, which has it by row, is NULL.
+    """
+    def sized(sigma: Column, target: Column, equity: Column, price: Column, leverage: Column) -> Column:
+        ok = F.lit(True)
+        for x in (target, equity, leverage, leverage * equity):
+            ok = ok & is_finite(x) & (x > 0)
+        return F.when(ok, _sized(sigma, target, equity, price, leverage * equity))
+
+    made = {
+        "parkinson_vol": (("high", "low"), parkinson_vol),
+        "garman_klass_vol": (("open", "high", "low", "close"), garman_klass_vol),
+        "vol_target_position": (("sigma", "target", "equity", "price", "leverage"), sized),
+        "period_vol": (("annual", "periods"), lambda annual, periods: F.when(is_finite(periods) & (periods > 0), annual / F.sqrt(periods))),
     }
-    for head, expr in body.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS DOUBLE RETURN {expr}")
-    return [h.partition("(")[0] for h in body]
+    for name, (args, make) in made.items():
+        empty = spark.createDataFrame([], ", ".join(f"{x} double" for x in args))
+        one = empty.select(make(*[F.col(x) for x in args]).alias("out"))
+        body = one._jdf.queryExecution().analyzed().projectList().head().child().sql()
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{x} DOUBLE' for x in args)}) RETURNS DOUBLE RETURN {body}")
+    return list(made)

@@ -26,7 +26,7 @@ def kelly_fraction(df: DataFrame, r: str, by: list[str], fraction: float = 1.0,
     k = positive(fraction, "fraction")
     numeric(df, r)
     x = F.col(r).cast("double")
-    # two passes around the group's mean: constant returns have a variance of exactly 0
+    # one pass of built-in moments; what merges them gives constants a variance of exactly 0
     a = df.select(*by, x.alias("_x"), S.is_finite(x).alias("_ok")).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~F.col("_ok")).alias("bad"), F.avg(F.when(F.col("_ok"), F.col("_x"))).alias("m"), F.var_samp(F.when(F.col("_ok"), F.col("_x"))).alias("v"))
     value = F.when((F.col("v") > 0) & S.is_finite("v"), k * F.col("m") / F.col("v"))
     status = F.when((F.col("n") < 2) | (F.col("bad") > 0), INVALID).when(~S.is_finite(value), OUT_OF_DOMAIN).otherwise(OK)
@@ -138,7 +138,12 @@ def ridge_fit_large(df: DataFrame, features: list[str], y: str, ridge: float = 0
 
 
 def ridge_predict(df: DataFrame, model: DataFrame | dict, features: list[str], on: list[str] | None = None, out: str = "prediction") -> DataFrame:
-    """intercept + sum of coef * feature, by name; missing values propagate. A model table is joined on ``on``."""
+    """intercept + sum of coef * feature, by name; missing values propagate.
+
+    A model table is joined on ``on``; its coefficients are found by their feature names, in whatever order, and a model of
+    other features predicts nothing (NULL). Without ``on`` it must have one row; like a dict of other features, or in
+    another order, a model of other features is refused then.
+    """
     if isinstance(model, dict):
         if list(model["feature_names"]) != list(features):
             raise ValueError(f"the model was fitted on {model['feature_names']}")
@@ -146,13 +151,25 @@ def ridge_predict(df: DataFrame, model: DataFrame | dict, features: list[str], o
         for f, w in zip(features, model["coef"], strict=True):
             c = c + F.col(f) * F.lit(float(w))
         return df.withColumn(out, c)
-    keys = on or []
-    m = model.where("status = 0").select(*keys, F.col("coef").alias("_coef"), F.col("intercept").alias("_b"))
-    joined = df.join(m, keys) if keys else df.crossJoin(m)
+    if not on:
+        rows = model.limit(2).collect()
+        if len(rows) != 1 or rows[0]["status"]:
+            raise ValueError("without keys the model table must have one row, of a fit that succeeded")
+        names, coef = list(rows[0]["feature_names"]), list(rows[0]["coef"])
+        if sorted(names) != sorted(features):
+            raise ValueError(f"the model was fitted on {names}")
+        one = {"coef": [coef[names.index(f)] for f in features], "intercept": rows[0]["intercept"], "feature_names": list(features)}
+        return ridge_predict(df, one, features, out=out)
+    named = (F.size("feature_names") == len(features)) & (F.size(F.array_except("feature_names", F.array(*[F.lit(f) for f in features]))) == 0)
+    m = model.where("status = 0").select(*on, F.when(named, F.map_from_arrays("feature_names", "coef")).alias("_coef"), F.col("intercept").alias("_b"))
     c = F.col("_b")
-    for i, f in enumerate(features):
-        c = c + F.col(f) * F.get("_coef", F.lit(i))
-    return joined.withColumn(out, c).drop("_coef", "_b")
+    for f in features:
+        c = c + F.col(f) * F.try_element_at("_coef", F.lit(f))
+    return df.join(m, on).withColumn(out, c).drop("_coef", "_b")
+
+
+class NotFittedError(ValueError, AttributeError):
+    """An estimator is asked for what only a fit gives it."""
 
 
 class Ridge:
@@ -180,7 +197,7 @@ class Ridge:
 
     def predict(self, df: DataFrame, features: list[str] | None = None, out: str = "prediction") -> DataFrame:
         if not hasattr(self, "model_"):
-            raise ValueError("the model is not fitted")
+            raise NotFittedError("the model is not fitted")
         return ridge_predict(df, self.model_, self.feature_names_in_ if features is None else list(features), out=out)
 
 
@@ -226,4 +243,4 @@ def hit_rate(df: DataFrame, predicted: str, actual: str, by: list[str]) -> DataF
     return both.groupBy(*by).agg(F.avg(same).alias("hit_rate"), F.corr(predicted, actual).alias("correlation"), F.count("*").alias("n"))
 
 
-__all__ = ["Ridge", "Window", "demeaned", "garch_fit", "garch_fit_one", "hit_rate", "kelly_fraction", "realised_over_target", "ridge_fit", "ridge_fit_large", "ridge_predict", "standardised", "strategy_summary", "train_statistics"]
+__all__ = ["NotFittedError", "Ridge", "Window", "demeaned", "garch_fit", "garch_fit_one", "hit_rate", "kelly_fraction", "realised_over_target", "ridge_fit", "ridge_fit_large", "ridge_predict", "standardised", "strategy_summary", "train_statistics"]

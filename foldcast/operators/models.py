@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contract import GARCH_MAX_PERSISTENCE, PREDICTIVE, DomainError, SeriesSpec, count, with_timed
+from ..functions import garch as G
 from . import fits, kernels, recurrences
 
 
@@ -35,11 +36,11 @@ class GarchModel:
 
     @property
     def persistence(self) -> float:
-        return self.alpha + self.beta
+        return G.persistence_of(self.alpha, self.beta)
 
     @property
     def unconditional_variance(self) -> float:
-        return self.omega / (1 - self.persistence)
+        return G.variance_of(self.omega, self.persistence)
 
     @property
     def unconditional_vol(self) -> float:
@@ -47,7 +48,7 @@ class GarchModel:
 
     @property
     def half_life(self) -> float:
-        return math.log(0.5) / math.log(self.persistence) if self.persistence > 0 else 0.0
+        return G.half_life_of(math.log(self.persistence)) if self.persistence > 0 else 0.0
 
     def filter(self, df: DataFrame, r: str, spec: SeriesSpec, out: str = "garch_vol") -> DataFrame:
         """Forecasts before each return, from the backcast (0: the unconditional variance) on."""

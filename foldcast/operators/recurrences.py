@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..contract import PREDICTIVE, SeriesSpec, count, numeric, ship_code, with_timed
+from ..contract import PREDICTIVE, SeriesSpec, count, lagged, numeric, reach_of, shared_dir, ship_code, with_timed
 from ..functions import scalars as S
 from . import kernels as K
 
@@ -39,7 +39,8 @@ def _per_series(df: DataFrame, spec: SeriesSpec, needs: list[str], out: str, mak
         return table.append_column(out, pa.array(made, pa.float64(), from_pandas=True))
 
     got = df.groupBy(*spec.key).applyInArrow(run, schema)
-    return with_timed(got, F.col(out), out, PREDICTIVE)
+    # a forecast before each row: what is made of a column is known one period before it
+    return with_timed(got, F.col(out), out, *lagged(*reach_of(df, needs[0]), 1))
 
 
 def ewma_vol(df: DataFrame, r: str, spec: SeriesSpec, lam: float = 0.94, out: str = "ewma_vol") -> DataFrame:
@@ -83,16 +84,21 @@ def ewma_vol_blocked(df: DataFrame, r: str, spec: SeriesSpec, lam: float = 0.94,
     return got.drop("_block", "_v", *([] if pos else ["_pos"]))
 
 
-def garch_filter(df: DataFrame, r: str, spec: SeriesSpec, model: DataFrame | dict, out: str = "garch_vol", resume: bool = False) -> DataFrame:
+def garch_filter(df: DataFrame, r: str, spec: SeriesSpec, model: DataFrame | dict, out: str = "garch_vol", resume: bool = False, status: bool = False) -> DataFrame:
     """Volatility forecasts of a GARCH(1,1) model before each return.
 
     ``model`` is one dict for all series or a model table, joined on the key columns it shares. Starting variance:
-    from the model's backcast, or with ``resume`` its sigma2_next, so that a continuation has the bits of one run.
+    from the model's backcast, or with ``resume`` its sigma2_next, so that a continuation has the bits of one run. A dict
+    that is no model is refused. A table's row that is none, or whose variance grows over all bounds, leaves its series
+    without forecasts (NULL), and with ``status`` a column ``<out>_status`` tells: 0 fine, 1 no model.
     """
     numeric(df, r)
     names = ["omega", "alpha", "beta", "sigma2_next" if resume else "backcast"]
-    if isinstance(model, dict):
-        joined = df.select("*", *[F.lit(float(model.get(n, 0.0))).alias(f"_{n}") for n in names])
+    one = isinstance(model, dict)
+    if one:
+        given = [float(model.get(n, 0.0)) for n in names]
+        _check_model(*given, resume)
+        joined = df.select("*", *[F.lit(v).alias(f"_{n}") for n, v in zip(names, given, strict=True)])
     else:
         on = [k for k in spec.key if k in model.columns]
         joined = df.join(model.select(*on, *[F.col(n).cast("double").alias(f"_{n}") for n in names]), on)
@@ -101,13 +107,26 @@ def garch_filter(df: DataFrame, r: str, spec: SeriesSpec, model: DataFrame | dic
         if not len(a[r]):
             return a[r]
         o, al, be, start = (float(a[f"_{n}"][0]) for n in names)
-        if not (0 < o < math.inf and al >= 0 and be >= 0 and al + be < K.GARCH_MAX_PERSISTENCE):
-            raise ValueError("the model's parameters are not those of a stationary GARCH(1,1)")
-        if resume and not 0 < start < math.inf:
-            raise ValueError("the model has no current variance")
-        return K.garch_filter(a[r], o, al, be, start if resume else K.garch_seed(o, al, be, start))[0]
-
-    return _per_series(joined, spec, [r, *[f"_{n}" for n in names]], out, make).drop(*[f"_{n}" for n in names])
+        try:
+            _check_model(o, al, be, start, resume)
+            return K.garch_filter(a[r], o, al, be, start if resume else K.garch_seed(o, al, be, start))[0]
+        except ValueError:
+            if one:
+                raise
+            return np.full(len(a[r]), math.nan)
+
+    got = _per_series(joined, spec, [r, *[f"_{n}" for n in names]], out, make)
+    if status:
+        ok = S.valid_garch("_omega", "_alpha", "_beta") & ((F.col("_sigma2_next") > 0) & S.is_finite("_sigma2_next") if resume else F.lit(True))
+        got = got.withColumn(f"{out}_status", F.when(ok, 0).otherwise(1))
+    return got.drop(*[f"_{n}" for n in names])
+
+
+def _check_model(omega: float, alpha: float, beta: float, start: float, resume: bool) -> None:
+    if not (0 < omega < math.inf and alpha >= 0 and beta >= 0 and alpha + beta < K.GARCH_MAX_PERSISTENCE):
+        raise ValueError("the model's parameters are not those of a stationary GARCH(1,1)")
+    if resume and not 0 < start < math.inf:
+        raise ValueError("the model has no current variance")
 
 
 def garch_forecast(models: DataFrame, horizon: int, out: str = "vol") -> DataFrame:

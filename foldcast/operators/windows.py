@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..contract import CONTEMPORANEOUS, FORWARD, PREDICTIVE, DomainError, SeriesSpec, count, numeric, timing_of, with_timed
+from ..contract import FORWARD, PREDICTIVE, DomainError, SeriesSpec, count, lagged, numeric, reach_of, timing_of, with_timed
 from ..functions import scalars as S
 
 
 def lag(df: DataFrame, x: str, spec: SeriesSpec, periods: int = 1, out: str | None = None) -> DataFrame:
-    """The value ``periods`` rows before; what was contemporaneous is predictive then."""
+    """The value ``periods`` rows before; what was contemporaneous is predictive then, and what looks ahead once it is
+    lagged by all that it looks ahead."""
     k = count(periods, "periods")
-    timing = PREDICTIVE if k else timing_of(df, x) or CONTEMPORANEOUS
     c = F.lag(F.col(x), k).over(spec.window()) if k else F.col(x)
-    return with_timed(df, c, out or f"{x}_lag{k}", timing)
+    return with_timed(df, c, out or f"{x}_lag{k}", *lagged(*reach_of(df, x), k))
 
 
 def position(df: DataFrame, spec: SeriesSpec, out: str = "pos") -> DataFrame:
@@ -28,12 +28,12 @@ def position(df: DataFrame, spec: SeriesSpec, out: str = "pos") -> DataFrame:
 
 def simple_returns(df: DataFrame, price: str, spec: SeriesSpec, out: str = "r") -> DataFrame:
     p = S.normalise(price)
-    return with_timed(df, S.simple_return(p, F.lag(p).over(spec.window())), out, CONTEMPORANEOUS)
+    return with_timed(df, S.simple_return(p, F.lag(p).over(spec.window())), out, *reach_of(df, price))
 
 
 def log_returns(df: DataFrame, price: str, spec: SeriesSpec, out: str = "r") -> DataFrame:
     p = S.normalise(price)
-    return with_timed(df, S.log_return(p, F.lag(p).over(spec.window())), out, CONTEMPORANEOUS)
+    return with_timed(df, S.log_return(p, F.lag(p).over(spec.window())), out, *reach_of(df, price))
 
 
 def _values(x: str, spec: SeriesSpec, window: int) -> Column:
@@ -57,10 +57,10 @@ def rolling_mean(df: DataFrame, x: str, spec: SeriesSpec, window: int, out: str
     name = out or f"{x}_mean{w}"
     if method == "fast":
         frame, v = spec.trailing(w), S.normalise(x)
-        return with_timed(df, S.normalise(F.when(F.count(v).over(frame) == w, F.avg(v).over(frame))), name, CONTEMPORANEOUS)
+        return with_timed(df, S.normalise(F.when(F.count(v).over(frame) == w, F.avg(v).over(frame))), name, *reach_of(df, x))
     held = f"_{name}_a"
     df = df.withColumn(held, _values(x, spec, w))
-    return with_timed(df, S.normalise(F.when(F.size(held) == w, _mean(F.col(held), w))), name, CONTEMPORANEOUS).drop(held)
+    return with_timed(df, S.normalise(F.when(F.size(held) == w, _mean(F.col(held), w))), name, *reach_of(df, x)).drop(held)
 
 
 def rolling_std(df: DataFrame, x: str, spec: SeriesSpec, window: int, out: str | None = None, method: str = "exact") -> DataFrame:
@@ -74,13 +74,13 @@ def rolling_std(df: DataFrame, x: str, spec: SeriesSpec, window: int, out: str |
     name = out or f"{x}_std{w}"
     if method == "fast":
         frame, v = spec.trailing(w), S.normalise(x)
-        return with_timed(df, S.normalise(F.when(F.count(v).over(frame) == w, F.stddev_pop(v).over(frame))), name, CONTEMPORANEOUS)
+        return with_timed(df, S.normalise(F.when(F.count(v).over(frame) == w, F.stddev_pop(v).over(frame))), name, *reach_of(df, x))
     held, off, mean = f"_{name}_a", f"_{name}_o", f"_{name}_m"
     df = df.withColumn(held, _values(x, spec, w))
     df = df.withColumn(off, F.when(F.size(held) == w, F.transform(held, lambda v: v - F.get(held, F.lit(w - 1)))))
     df = df.withColumn(mean, F.aggregate(off, F.lit(0.0), lambda s, v: s + v) / F.lit(float(w)))
     var = F.aggregate(off, F.lit(0.0), lambda s, v: s + (v - F.col(mean)) * (v - F.col(mean))) / F.lit(float(w))
-    return with_timed(df, S.normalise(F.sqrt(var)), name, CONTEMPORANEOUS).drop(held, off, mean)
+    return with_timed(df, S.normalise(F.sqrt(var)), name, *reach_of(df, x)).drop(held, off, mean)
 
 
 def drawdown_scale(df: DataFrame, equity: str, spec: SeriesSpec, max_dd: float, out: str = "scale", strict: bool = True) -> DataFrame:
@@ -103,7 +103,7 @@ def drawdown_scale(df: DataFrame, equity: str, spec: SeriesSpec, max_dd: float,
     df = df.withColumn(status, F.coalesce(F.first(F.when(bad > 0, bad), ignorenulls=True).over(run), F.lit(0)))
     peak = F.max(F.when(bad == 0, e)).over(run)
     scale = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (1 - e / peak) / F.lit(float(max_dd))))
-    df = with_timed(df, F.when(F.col(status) == 0, scale), out, CONTEMPORANEOUS)
+    df = with_timed(df, F.when(F.col(status) == 0, scale), out, *reach_of(df, equity))
     return df.drop(status) if strict else df
 
 
@@ -111,24 +111,35 @@ def forward_label(df: DataFrame, r: str, spec: SeriesSpec, horizon: int, out: st
     """Compounded return over [t, t + horizon): it looks ahead on purpose, as a label for fits only."""
     h = count(horizon, "horizon", 1)
     v, frame = S.normalise(r), spec.ahead(h)
-    return with_timed(df, F.when(F.count(v).over(frame) == h, F.product(1 + v).over(frame) - 1), out, FORWARD)
+    return with_timed(df, F.when(F.count(v).over(frame) == h, F.product(1 + v).over(frame) - 1), out, FORWARD, reach_of(df, r)[1] + h - 1)
 
 
 def equity_curve(df: DataFrame, r: str, spec: SeriesSpec, out: str = "equity") -> DataFrame:
     """Running product of 1 + r (missing returns count as 0)."""
-    return with_timed(df, F.product(1 + F.coalesce(S.normalise(r), F.lit(0.0))).over(spec.running()), out, CONTEMPORANEOUS)
+    return with_timed(df, F.product(1 + F.coalesce(S.normalise(r), F.lit(0.0))).over(spec.running()), out, *reach_of(df, r))
 
 
 def running_max(df: DataFrame, x: str, spec: SeriesSpec, out: str = "peak") -> DataFrame:
-    return with_timed(df, F.max(S.normalise(x)).over(spec.running()), out, CONTEMPORANEOUS)
+    return with_timed(df, F.max(S.normalise(x)).over(spec.running()), out, *reach_of(df, x))
 
 
 def vol_target(df: DataFrame, sigma: str, price: str, target_vol: float, equity: float, max_leverage: float, out: str = "units", unsafe: bool = False) -> DataFrame:
-    """Positions from a forecast; refuses a sigma that includes its own period, which must pass through lag first."""
+    """Positions from a forecast; refuses a sigma that isn't known before its own period, which must pass through lag first,
+    and one without a class (an expression's): see contract.declared."""
     timing = timing_of(df, sigma)
-    if timing in (CONTEMPORANEOUS, FORWARD) and not unsafe:
-        raise ValueError(f"{sigma} is {timing}: pass it through lag, or say unsafe=True")
-    return df.withColumn(out, S.vol_target_position(sigma, target_vol, equity, price, max_leverage))
+    if timing != PREDICTIVE and not unsafe:
+        raise ValueError(f"{sigma} is {timing or 'of no timing class'}: pass it through lag, declare it, or say unsafe=True")
+    return with_timed(df, S.vol_target_position(sigma, target_vol, equity, price, max_leverage), out, *reach_of(df, sigma))
+
+
+def signed(df: DataFrame, units: str, signal: str, out: str = "position", unsafe: bool = False) -> DataFrame:
+    """Units in the direction of a signal: its sign times the units; 0 where either is missing. As in vol_target, the signal must
+    be known before its period."""
+    timing = timing_of(df, signal)
+    if timing != PREDICTIVE and not unsafe:
+        raise ValueError(f"{signal} is {timing or 'of no timing class'}: pass it through lag, declare it, or say unsafe=True")
+    held = F.signum(S.normalise(signal)) * S.normalise(units)
+    return with_timed(df, F.coalesce(held, F.lit(0.0)), out, *reach_of(df, units, signal))
 
 
 def period_pnl(df: DataFrame, units: str, price: str, r: str, spec: SeriesSpec, out: str = "pnl") -> DataFrame:
@@ -136,4 +147,4 @@ def period_pnl(df: DataFrame, units: str, price: str, r: str, spec: SeriesSpec,
     return df.withColumn(out, F.coalesce(F.col(units) * F.lag(F.col(price)).over(spec.window()) * F.col(r), F.lit(0.0)))
 
 
-__all__ = ["Window", "drawdown_scale", "equity_curve", "forward_label", "lag", "log_returns", "period_pnl", "position", "rolling_mean", "rolling_std", "running_max", "simple_returns", "vol_target"]
+__all__ = ["Window", "drawdown_scale", "equity_curve", "forward_label", "lag", "log_returns", "period_pnl", "position", "rolling_mean", "rolling_std", "running_max", "signed", "simple_returns", "vol_target"]

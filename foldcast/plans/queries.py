@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contract import SeriesSpec
+from ..contract import PREDICTIVE, SeriesSpec, declared
 from ..functions import scalars as S
 from ..operators import fits, folds, recurrences
 from ..operators import windows as W
@@ -357,6 +357,18 @@ def ridge_predict(spark, d):
     return p.groupBy("l_returnflag").agg(F.round(F.avg("prediction"), 3).alias("predicted"), F.round(F.avg("l_extendedprice"), 3).alias("actual"))
 
 
+TWO_BY_SQL = TWO_SQL.replace("s AS (SELECT ", "s AS (SELECT l_returnflag, ").replace("FROM lineitem)", "FROM lineitem GROUP BY l_returnflag)").replace("w AS (SELECT ", "w AS (SELECT l_returnflag, ")
+
+
+@query(f"WITH {TWO_BY_SQL} SELECT l_returnflag, round(avg((y + w1 * (l_quantity - q) + w2 * (l_discount - p)) * l_quantity), 2) AS moment FROM lineitem JOIN w USING (l_returnflag) GROUP BY 1")
+def ridge_predict_reordered(spark, d):
+    """A model table's coefficients are found by name: asked in another order than fitted."""
+    x = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_extendedprice")
+    m = fits.ridge_fit(x, ["l_quantity", "l_discount"], "l_extendedprice", ["l_returnflag"], [], 2.0)
+    p = fits.ridge_predict(x, m, ["l_discount", "l_quantity"], ["l_returnflag"])
+    return p.groupBy("l_returnflag").agg(F.round(F.avg(F.col("prediction") * F.col("l_quantity")), 2).alias("moment"))
+
+
 LAGGED_SQL = fold_rows_sql() + ", lg AS (SELECT fr.*, pr2.r AS x FROM fr LEFT JOIN pr pr2 ON pr2.pos = fr.pos - 1), tr AS (SELECT fold, regr_slope(r, x) AS w, regr_intercept(r, x) AS b FROM lg WHERE role = 'train' AND x IS NOT NULL AND r IS NOT NULL GROUP BY fold)"
 
 
@@ -403,6 +415,38 @@ def sql_functions(spark, d):
     return px(spark, d).select("d", F.expr("round(parkinson_vol(high, low), 6)").alias("park"), F.expr("round(period_vol(0.16D, 252D), 6)").alias("period"))
 
 
+@query(f"WITH {PX_SQL}, b AS (SELECT d, high, low, close, CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN -1.0 WHEN 2 THEN 1e300 ELSE 0.05 END::DOUBLE AS sigma FROM px) SELECT d, CASE WHEN sigma > 1 THEN 0 WHEN sigma > 0 THEN round(least(0.01 / sigma * (100000.0 / close), 200000.0 / close), 6) ELSE 0 END AS units, round({PARK}, 6) AS park, NULL::DOUBLE AS overflow, NULL::DOUBLE AS refused FROM b")
+def sql_functions_edges(spark, d):
+    """The SQL forms where column forms are missing or 0: no forecast, a position under the least normal number, overflow."""
+    S.register_sql(spark)
+    n = F.col("n") % 4
+    x = px(spark, d).withColumn("sigma", F.when(n == 0, F.lit(None)).when(n == 1, F.lit(-1.0)).when(n == 2, F.lit(1e300)).otherwise(F.lit(0.05)).cast("double"))
+    units = "CASE WHEN sigma > 1 THEN vol_target_position(sigma, 1e-10D, 1D, 1D, 1D) ELSE round(vol_target_position(sigma, 0.01D, 100000D, close, 2D), 6) END AS units"
+    return x.selectExpr("d", units, "round(parkinson_vol(high, low), 6) AS park", "parkinson_vol(1e308D, 1e-308D) AS overflow", "vol_target_position(sigma, -1D, 1D, close, 1D) AS refused")
+
+
+@query(f"WITH {PX_SQL} SELECT d, {sized_sql(PARK, 1.5)} FROM px")
+def risk_cap(spark, d):
+    x = px(spark, d).withColumn("sigma", S.parkinson_vol("high", "low"))
+    return x.select("d", r6(S.risk_cap_position("sigma", 0.01, 1e5, "close", 1.5), "units"))
+
+
+@query("SELECT k, CASE WHEN o > 0 AND a >= 0 AND b >= 0 AND a + b < 0.9999 THEN true ELSE false END AS feasible FROM (VALUES (1, 1e-6, 0.1, 0.85), (2, 0.0, 0.1, 0.8), (3, 1e-6, 0.2, 0.8), (4, 1e-6, -0.1, 0.8), (5, 1e-6, 0.1, 0.8998), (6, 1e-6, 0.1, 0.89991), (7, NULL, 0.1, 0.8)) t(k, o, a, b)")
+def garch_feasible(spark, d):
+    rows = [(1, 1e-6, 0.1, 0.85), (2, 0.0, 0.1, 0.8), (3, 1e-6, 0.2, 0.8), (4, 1e-6, -0.1, 0.8), (5, 1e-6, 0.1, 0.8998), (6, 1e-6, 0.1, 0.89991), (7, None, 0.1, 0.8)]
+    return spark.createDataFrame(rows, "k int, o double, a double, b double").select("k", F.coalesce(S.valid_garch("o", "a", "b"), F.lit(False)).alias("feasible"))
+
+
+@query(f"WITH {PR_SQL} SELECT d, round(coalesce(sign(x) * u, 0), 6) AS position FROM (SELECT d, lag(r) OVER (ORDER BY d) AS x, CASE WHEN b > 0 THEN least(0.01 / 0.05 * (100000.0 / b), 200000.0 / b) END AS u FROM (SELECT *, lag(close) OVER (ORDER BY d) AS b FROM pr))")
+def signed_positions(spark, d):
+    """Positions in the direction of what was known: the return of the period before."""
+    x = W.simple_returns(px(spark, d), "close", PX)
+    x = W.lag(W.lag(x, "r", PX, 1, "signal"), "close", PX, 1, "before")
+    x = declared(x.withColumn("sigma", F.lit(0.05)), "sigma", PREDICTIVE)
+    x = W.vol_target(x, "sigma", "before", 0.01, 1e5, 2.0)
+    return W.signed(x, "units", "signal").select("d", r6("position", "position"))
+
+
 @query(splits_sql(500, 100, 20, 10, 2))
 def splits_table_function(spark, d):
     folds.register_folds(spark)
@@ -445,9 +489,9 @@ def fold_vol_target_summary(spark, d):
     return fits.strategy_summary(ret, "pnl", spec).select("fold", r6("annual_return", "annual_return"), r6("annual_vol", "annual_vol"), r6("max_drawdown", "max_drawdown"), "n")
 
 
-@query()
+@query(f"WITH {TK_SQL}, g AS (SELECT key, ts, event_id, price AS r FROM tk) {ewma_sql('g', 'PARTITION BY key', 'ts, event_id', 'key, ts, 0::BIGINT AS late')}")
 def stream_ewma_by_type(spark, d):
     """The streaming EWMA over the event files, run to the end of what is there."""
     from ..streaming import replay_ewma
 
-    return replay_ewma(spark, f"{d}/events.parquet").select("key", "ts", r6("vol", "vol"), "late")
+    return replay_ewma(spark, f"{d}/events.parquet").select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), r6("vol", "vol"), "late")

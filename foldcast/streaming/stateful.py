@@ -9,7 +9,6 @@ a micro-batch are sorted, and rows not after the last one of their key are late;
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..contract import ship_code
+from ..contract import shared_dir, ship_code
 from ..functions.scalars import normalise
 from ..operators import kernels as K
 from ..sources.bars import bars
@@ -90,8 +89,7 @@ def replay_ewma(spark: SparkSession, path: str, lam: float = 0.94) -> DataFrame:
     The stream writes a Parquet table in the shared folder, which is what is returned: the micro-batches' rows never
     meet on the driver, and a restart resumes from the checkpoint.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="foldcast-")
-    at = f"{root.rstrip('/')}/foldcast/replay-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/foldcast/replay-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     name, folder = path.rstrip("/").rpartition("/")[2], path.rstrip("/").rpartition("/")[0]
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name[0]}{name[1:-1]}?")

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldcast.contract import DomainError, SeriesSpec
 from foldcast.operators import fits, folds, recurrences
@@ -186,7 +187,7 @@ def test_split_arguments_sweep():
                     for purge in (0, train - 1):
                         for embargo, post in ((0, False), (5, True), (0, True)):
                             a = folds.SplitArgs.of(train, test, step, purge=purge, embargo=embargo, include_post_train=post)
-                            assert [tuple(a.fold(i, n)) for i in range(a.folds(n))] == plain_folds(n, train, test, step, purge, embargo, post)
+                            assert [a.bounds(i, n) for i in range(a.folds(n))] == plain_folds(n, train, test, step, purge, embargo, post)
     for bad in ((0, 1), (1, 0), (5, 1, 0)):
         with pytest.raises(ValueError):
             folds.SplitArgs.of(*bad)
@@ -201,12 +202,12 @@ def test_rows_meet_their_folds(spark):
         a = folds.SplitArgs.of(**args)
         want = set()
         for i in range(a.folds(n)):
-            f = a.fold(i, n)
-            want |= {(i, p, "train") for p in range(f.train_start, f.train_end)} | {(i, p, "gap") for p in range(f.train_end, f.test_start)} | {(i, p, "test") for p in range(f.test_start, f.test_end)} | {(i, p, "post") for p in range(f.train_post_start, n)}
+            t0, t1, e0, e1, again, _ = a.bounds(i, n)
+            want |= {(i, p, "train") for p in range(t0, t1)} | {(i, p, "gap") for p in range(t1, e0)} | {(i, p, "test") for p in range(e0, e1)} | {(i, p, "post") for p in range(again, n)}
         got = folds.assign_folds(spark.range(n).withColumnRenamed("id", "pos"), "pos", n, **args)
         assert {tuple(r) for r in got.select("fold", "pos", "role").collect()} == want
         rel = folds.walk_forward_splits(spark, n, **args).orderBy("fold").collect()
-        assert [tuple(r)[1:] for r in rel] == [tuple(a.fold(i, n)) for i in range(a.folds(n))]
+        assert [tuple(r)[1:] for r in rel] == [a.bounds(i, n) for i in range(a.folds(n))]
 
 
 def test_cross_validator(spark):
@@ -230,11 +231,11 @@ def test_fold_job_equals_a_loop(spark):
     got = {(x.fold, x.pos): x.v for x in later.where("role = 'test'").collect()}
     a = folds.SplitArgs.of(300, 100, purge=4)
     for i in range(a.folds(700)):
-        w = a.fold(i, 700)
-        mean = r[w.train].mean()
-        k = K.garch_fit(r[w.train] - mean)
-        out, _ = K.garch_filter(r[w.train_end : w.test_end] - mean, k["omega"], k["alpha"], k["beta"], k["sigma2_next"])
-        assert np.allclose([got[(i, p)] for p in range(w.test_start, w.test_end)], out[w.purge :], rtol=1e-6)
+        t0, t1, e0, e1, *_ = a.bounds(i, 700)
+        mean = r[t0:t1].mean()
+        k = K.garch_fit(r[t0:t1] - mean)
+        out, _ = K.garch_filter(r[t1:e1] - mean, k["omega"], k["alpha"], k["beta"], k["sigma2_next"])
+        assert np.allclose([got[(i, p)] for p in range(e0, e1)], out[e0 - t1 :], rtol=1e-6)
 
 
 def test_simulated_source(spark):
@@ -329,3 +330,93 @@ def test_model_object(spark):
     r = garch_path(2, 300, 2e-6, 0.1, 0.85)
     fitted = GarchModel.fit(frame(spark, r.tolist()), "r", ["t"])
     assert fitted.converged and fitted.sigma2_next > 0
+
+
+def test_ridge_table_is_read_by_name(spark):
+    m = spark.createDataFrame([("k", [1.0, 10.0], 0.0, 0.0, ["a", "b"], 0), ("other", [1.0, 10.0], 0.0, 0.0, ["a", "z"], 0), ("less", [1.0], 0.0, 0.0, ["a"], 0)], "key string, coef array<double>, intercept double, ridge double, feature_names array<string>, status int")
+    x = spark.createDataFrame([(k, 1.0, 2.0) for k in ("k", "other", "less")], "key string, a double, b double")
+    got = {r.key: r.prediction for r in fits.ridge_predict(x, m, ["b", "a"], ["key"]).collect()}
+    assert got == {"k": 21.0, "other": None, "less": None}
+    one = m.where("key = 'k'").drop("key")
+    assert {r.prediction for r in fits.ridge_predict(x, one, ["b", "a"]).collect()} == {21.0}
+    for bad in (m, m.where("key = 'other'"), m.limit(0)):
+        with pytest.raises(ValueError):
+            fits.ridge_predict(x, bad, ["b", "a"])
+
+
+def test_estimator_protocol(spark):
+    from sys import modules
+
+    df = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(9)], "a double, y double")
+    e = fits.Ridge(0.5)
+    with pytest.raises(fits.NotFittedError):
+        e.predict(df)
+    twin = type(e)(**e.get_params())
+    assert twin is not e and twin.get_params() == e.get_params() and not hasattr(twin, "coef_")
+    e.fit(df, ["a"], "y")
+    before = e.coef_
+    with pytest.raises(ValueError):
+        e.fit(df.withColumn("a", F.lit(None).cast("double")), ["a"], "y")
+    assert e.coef_ is before and "sklearn" not in modules
+
+
+def test_cross_validator_chooses_a_penalty(spark):
+    """A model selection loop: each penalty judged on the test rows of purged folds."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=160)
+    df = spark.createDataFrame([(i, float(v), float(3 * v + rng.normal() / 10)) for i, v in enumerate(x)], "pos long, x double, y double")
+    miss = {}
+    for penalty in (0.0, 1e4):
+        f = folds.assign_folds(df, "pos", 160, 60, 20, label_horizon=3)
+        m = fits.ridge_fit(f.where("role = 'train'"), ["x"], "y", ["fold"], ["pos"], penalty)
+        p = fits.ridge_predict(f.where("role = 'test'"), m, ["x"], ["fold"])
+        miss[penalty] = p.agg(F.avg(F.pow(F.col("prediction") - F.col("y"), 2))).first()[0]
+    cv = folds.PurgedWalkForward(60, 20, label_horizon=3)
+    assert miss[0.0] < 0.02 < miss[1e4] and cv.get_n_splits(x) == 5
+
+
+def test_one_bad_model_leaves_other_series_alone(spark):
+    df = spark.createDataFrame([(k, i, 0.01 * (i % 3 - 1)) for k in ("good", "bad", "boom") for i in range(6)], "key string, t int, r double")
+    m = spark.createDataFrame([("good", 1e-6, 0.1, 0.8, 0.0, 1e-4), ("bad", 1e-6, 0.5, 0.8, 0.0, 1e-4), ("boom", 1e-6, 0.1, 0.8, 0.0, float("inf"))], "key string, omega double, alpha double, beta double, backcast double, sigma2_next double")
+    spec = SeriesSpec.of("key", "t")
+    got = recurrences.garch_filter(df, "r", spec, m, "v", resume=True, status=True).collect()
+    assert {(r.key, r.v is None, r.v_status) for r in got} == {("good", False, 0), ("bad", True, 1), ("boom", True, 1)}
+    with pytest.raises(ValueError):
+        recurrences.garch_filter(df, "r", spec, {"omega": 1e-6, "alpha": 0.5, "beta": 0.8})
+
+
+def test_sql_forms_are_the_column_forms(spark):
+    from foldcast.functions import scalars as S
+
+    S.register_sql(spark)
+    values = [None, float("nan"), float("inf"), -1.0, 0.0, 5e-324, 1e-308, 1e-10, 0.5, 1.0, 3.0, 1e300, 1e308]
+    rows = [(a, b, c) for a in values for b in values for c in values]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    both = df.select(F.expr("parkinson_vol(a, b)").alias("p"), S.parkinson_vol("a", "b").alias("q"), F.expr("garman_klass_vol(c, a, b, c)").alias("g"), S.garman_klass_vol("c", "a", "b", "c").alias("h"), F.expr("vol_target_position(a, 0.1D, 1000D, b, 2D)").alias("u"), S.vol_target_position("a", 0.1, 1000.0, "b", 2.0).alias("v"))
+    for r in both.collect():
+        assert r.p == r.q and r.g == r.h and r.u == r.v and r.u is not None
+    assert spark.sql("SELECT parkinson_vol(1e308, 1e-308), vol_target_position(1e300, 1e-10, 1, 1, 1), vol_target_position(0.1, 0, 1, 1, 1), period_vol(0.2, 0)").first() == (None, 0.0, None, None)
+
+
+def test_frames_must_have_the_same_rows(spark):
+    from foldcast.contract import check_same_rows
+
+    a = spark.createDataFrame([(1, 2.0), (2, 3.0)], "t int, x double")
+    check_same_rows(a, a.select("t"), ["t"])
+    for other in (a.where("t = 1"), a.union(spark.createDataFrame([(3, 1.0)], "t int, x double"))):
+        with pytest.raises(ValueError, match="rows"):
+            check_same_rows(a, other, ["t"])
+        with pytest.raises(ValueError, match="rows"):
+            check_same_rows(other, a, ["t"])
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from foldcast.contract import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d: d, set=lambda k, v: None)
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://h:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+    assert shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file:/")

@@ -5,9 +5,11 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from foldcast.contract import DomainError, SeriesSpec, check_order, count
+from foldcast.contract import FORWARD, PREDICTIVE, DomainError, SeriesSpec, check_order, count, declared, timing_of
 from foldcast.functions import scalars as S
+from foldcast.operators import recurrences
 from foldcast.operators import windows as W
 
 T = SeriesSpec.of(None, "t")
@@ -91,6 +93,52 @@ def test_lag_and_timing(spark):
     assert column(W.lag(df, "x", T, 9, "none"), "none") == [None] * 4
 
 
+@pytest.mark.parametrize("horizon", [1, 3, 5])
+def test_nothing_that_looks_ahead_becomes_predictive_early(spark, horizon):
+    df = W.simple_returns(series(spark, [float(i + 1) for i in range(12)]), "x", T, "r")
+    label = W.forward_label(df, "r", T, horizon, "label")
+    assert timing_of(label, "label") == FORWARD
+    for k in range(horizon + 2):
+        d = W.lag(label, "label", T, k, "seen")
+        known = k >= horizon
+        assert timing_of(d, "seen") == (PREDICTIVE if known else FORWARD)
+        # what each row of it reads: no later return than the one before its own period, once it is predictive
+        vals = [r.seen for r in d.orderBy("t").collect()]
+        changed = W.lag(W.forward_label(df.withColumn("r", F.when(F.col("t") == 7, 9.0).otherwise(F.col("r"))), "r", T, horizon, "label"), "label", T, k, "seen")
+        moved = [i for i, (a, b) in enumerate(zip(vals, [r.seen for r in changed.orderBy("t").collect()], strict=True)) if a != b]
+        assert bool(moved) and (min(moved) > 7 if known else min(moved) <= 7)
+        for made in (W.rolling_mean(d, "seen", T, 2, "m"), W.rolling_std(d, "seen", T, 2, "m"), W.running_max(d, "seen", T, "m")):
+            assert timing_of(made, "m") == timing_of(d, "seen")
+        e = recurrences.ewma_vol(d, "seen", T, out="m")
+        assert timing_of(e, "m") == (PREDICTIVE if k >= horizon - 1 else FORWARD)
+        if not known:
+            with pytest.raises(ValueError, match="forward"):
+                W.vol_target(d, "seen", "x", 0.01, 1e4, 2.0)
+
+
+def test_columns_without_a_class_are_refused(spark):
+    df = W.lag(series(spark, [1.0, 2.0, 4.0]), "x", T, 1, "s").withColumn("twice", F.col("s") * 2)
+    with pytest.raises(ValueError, match="declare"):
+        W.vol_target(df, "twice", "x", 0.01, 1e4, 2.0)
+    out = W.vol_target(declared(df, "twice", PREDICTIVE), "twice", "x", 0.01, 1e4, 2.0)
+    assert timing_of(out, "units") == PREDICTIVE
+    with pytest.raises(ValueError):
+        declared(df, "twice", "someday")
+
+
+def test_signed_positions_and_the_leak_they_refuse(spark):
+    """The sign of tomorrow's return earns its absolute value every period; the lagged one doesn't."""
+    prices = [100.0, 101.0, 99.0, 103.0, 102.0, 105.0, 101.0]
+    df = W.simple_returns(series(spark, prices), "x", T, "r").withColumn("one", F.lit(1.0))
+    with pytest.raises(ValueError, match="contemporaneous"):
+        W.signed(df, "one", "r")
+    leak = W.period_pnl(W.signed(df, "one", "r", unsafe=True), "position", "x", "r", T)
+    fair = W.period_pnl(W.signed(W.lag(df, "r", T, 1, "known"), "one", "known"), "position", "x", "r", T)
+    moves = [b - a for a, b in zip(prices, prices[1:], strict=False)]
+    assert np.allclose(column(leak, "pnl"), [0.0, *map(abs, moves)])
+    assert np.allclose(column(fair, "pnl"), [0.0, 0.0, *(np.sign(a) * b for a, b in zip(moves, moves[1:], strict=False))])
+
+
 def test_drawdown(spark):
     e = series(spark, [100.0, 110.0, 99.0, 104.5, 120.0], "e")
     close(column(W.drawdown_scale(e, "e", T, 0.2), "scale"), [1, 1, 0.5, 0.75, 1])
