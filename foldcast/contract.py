@@ -53,6 +53,10 @@ class SeriesSpec:
     def running(self) -> WindowSpec:
         return self.window().rowsBetween(Window.unboundedPreceding, 0)
 
+    def whole(self) -> WindowSpec:
+        """All rows of the series: less what is running, what follows (a frame that follows each row is made anew for each)."""
+        return Window.partitionBy(*self.key)
+
     def ahead(self, rows: int) -> WindowSpec:
         return self.window().rowsBetween(0, rows - 1)
 

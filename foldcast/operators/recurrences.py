@@ -1,17 +1,19 @@
 """First-order recurrences over series: EWMA volatility and the GARCH(1,1) filter, and forecasts.
 
 Default: one Arrow group per series, in order, bit for bit the same however a series is cut and continued. For series
-too long for one task there is ``ewma_vol_blocked``: both recurrences are affine maps of the state, maps of blocks
-compose, so blocks are mapped, the few maps are scanned, and blocks are replayed from their start, all in parallel.
+too long for one task there are ``ewma_vol_blocked`` and ``garch_filter_blocked``: both recurrences are affine maps of the
+state, maps of blocks compose, so blocks are mapped, the few maps are scanned, and blocks are replayed from their start, all
+in parallel. Rows are numbered in two levels (``numbered``), so no task sorts a whole series.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,21 +52,77 @@ def ewma_vol(df: DataFrame, r: str, spec: SeriesSpec, lam: float = 0.94, out: st
     return _per_series(df, spec, [r], out, lambda a: K.ewma(a[r], lam)[0])
 
 
+def numbered(df: DataFrame, spec: SeriesSpec, out: str = "pos", parts: int | None = None) -> DataFrame:
+    """Row numbers from 0 within each series, in two levels: rows are dealt out by ranges of (key, order) and written with
+    their range's number; within a range they are counted by one task, and ranges are summed up.
+
+    Rows of one series that share an order are numbered in any order.
+    """
+    spark = df.sparkSession
+    ranges = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = f"{shared_dir(spark)}/foldcast/numbered-{uuid.uuid4().hex}"
+    cut = df.repartitionByRange(ranges, *spec.key, *spec.order).withColumn("_range", F.spark_partition_id())
+    cut.write.parquet(at)
+    held = spark.read.schema(cut.schema).parquet(at)
+    inner = F.row_number().over(Window.partitionBy(*spec.key, "_range").orderBy(*spec.order)) - 1
+    sizes = held.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(spec.key)], F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*[f"_k{i}" for i in range(len(spec.key))]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(spec.key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    each = held.withColumn("_inner", inner).join(sizes, same)
+    # columns are taken over with their timing classes, which files don't keep
+    plain = [F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in df.schema.fields if f.name != out]
+    return each.select(*plain, (F.col("_base") + F.col("_inner")).cast("long").alias(out))
+
+
+def garch_filter_blocked(df: DataFrame, r: str, spec: SeriesSpec, model: dict, out: str = "garch_vol", resume: bool = False, block: int = 65_536, pos: str | None = None) -> DataFrame:
+    """garch_filter with one model for very long series (equal to rounding): no task holds more than a block of a series."""
+    numeric(df, r)
+    o, al, be, start = (float(model.get(n, 0.0)) for n in ("omega", "alpha", "beta", "sigma2_next" if resume else "backcast"))
+    _check_model(o, al, be, start, resume)
+    first = start if resume else K.garch_seed(o, al, be, start)
+    at = pos or "_pos"
+    if pos is None:
+        df = numbered(df, spec, at)
+    df = df.withColumn("_block", F.floor(F.col(at) / count(block, "block", 1)))
+    blocks = SeriesSpec((*spec.key, "_block"), (at,))
+    # a block's map of the variance, v -> m * v + c: a row multiplies by beta (missing: by alpha + beta) and adds
+    ok = S.usable(r)
+    after = lambda what: (F.count_if(what).over(blocks.whole()) - F.count_if(what).over(blocks.running())).cast("double")
+    seen, gaps = after(ok), after(~ok)
+    rest = F.pow(F.lit(be), seen) * F.pow(F.lit(al + be), gaps)
+    added = F.lit(o) + F.when(ok, F.lit(al) * F.col(r).cast("double") * F.col(r).cast("double")).otherwise(F.lit(0.0))
+    terms = df.select(*spec.key, "_block", ok.alias("ok"), (added * rest).alias("c"))
+    terms = terms.groupBy(*spec.key, "_block").agg(F.count_if("ok").cast("double").alias("n"), F.count_if(~F.col("ok")).cast("double").alias("g"), F.sum("c").alias("c"))
+    scanned = terms.groupBy(*spec.key).agg(F.sort_array(F.collect_list(F.struct("_block", "n", "g", "c"))).alias("s"))
+
+    def follow(state, x):
+        then = F.pow(F.lit(be), x["n"]) * F.pow(F.lit(al + be), x["g"]) * state["v"] + x["c"]
+        return F.struct(then.alias("v"), F.concat(state["o"], F.array(F.struct(x["_block"].alias("_block"), state["v"].alias("v")))).alias("o"))
+
+    zero = F.struct(F.lit(first).alias("v"), F.array().cast("array<struct<_block:bigint,v:double>>").alias("o"))
+    starts = scanned.select(*spec.key, F.explode(F.aggregate("s", zero, follow, lambda s: s["o"])).alias("x")).select(*spec.key, F.col("x._block").alias("_block"), F.col("x.v").alias("_v"))
+    got = _per_series(df.join(starts, [*spec.key, "_block"]), blocks, [r, "_v"], out, lambda a: K.garch_filter(a[r], o, al, be, float(a["_v"][0]))[0] if len(a[r]) else a[r])
+    return got.drop("_block", "_v", *([] if pos else ["_pos"]))
+
+
 def ewma_vol_blocked(df: DataFrame, r: str, spec: SeriesSpec, lam: float = 0.94, out: str = "ewma_vol", block: int = 65_536, pos: str | None = None) -> DataFrame:
     """The same for very long series (equal to rounding): no task holds more than a block of one series.
 
-    ``pos`` names a column with row numbers from 0; without it they are made by a window over the series.
+    ``pos`` names a column with row numbers from 0; without it they are made by ``numbered``.
     """
     lam = _check_lam(lam)
     at = pos or "_pos"
     if pos is None:
-        df = df.withColumn(at, F.row_number().over(spec.window()) - 1)
+        df = numbered(df, spec, at)
     b = F.floor(F.col(at) / count(block, "block", 1))
     sq = F.when(S.usable(r), F.col(r).cast("double") * F.col(r).cast("double"))
     df = df.withColumn("_block", b)
     blocks = SeriesSpec((*spec.key, "_block"), (at,))
     # a block's map of the state: v -> a * v + c; of a block that is the first to see a return, c is the state itself
-    left = F.count(sq).over(blocks.window().rowsBetween(1, 2**31 - 1))
+    left = F.count(sq).over(blocks.whole()) - F.count(sq).over(blocks.running())
     terms = df.select(*spec.key, "_block", sq.alias("sq"), left.alias("left"))
     terms = terms.groupBy(*spec.key, "_block").agg(F.count("sq").alias("n"), F.sum(F.col("sq") * (1 - lam) * F.pow(F.lit(lam), F.col("left"))).alias("c"), F.max_by(F.col("sq"), F.when(F.col("sq").isNotNull(), F.col("left"))).alias("first"))
     steps = F.sort_array(F.collect_list(F.struct("_block", "n", "c", "first")))

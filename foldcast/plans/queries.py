@@ -208,6 +208,11 @@ def garch_filter_fixed(spark, d):
     return recurrences.garch_filter(W.simple_returns(px(spark, d), "close", PX), "r", PX, MODEL, "vol").select("d", r6("vol", "vol"))
 
 
+@query(f"WITH {PR_SQL} {garch_sql('pr', repr(SEED))}")
+def garch_filter_blocked(spark, d):
+    return recurrences.garch_filter_blocked(W.simple_returns(px(spark, d), "close", PX), "r", PX, MODEL, "vol", block=200).select("d", r6("vol", "vol"))
+
+
 @query(f"WITH {PR_SQL} {garch_sql('pr', repr(MODEL['sigma2_next']))}")
 def garch_filter_from_fixed(spark, d):
     return recurrences.garch_filter(W.simple_returns(px(spark, d), "close", PX), "r", PX, MODEL, "vol", resume=True).select("d", r6("vol", "vol"))

@@ -420,3 +420,18 @@ def test_a_cluster_must_name_its_shared_folder():
         with pytest.raises(ValueError, match="checkpoint"):
             shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
     assert shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file:/")
+
+
+@pytest.mark.parametrize("beta", [0.0, 0.85])
+def test_blocked_filters_equal_the_plain_ones(spark, beta):
+    r = garch_path(3, 900, 2e-6, 0.1, 0.85)
+    rows = [(k, i, None if (i * 7) % 11 == 0 else math.nan if i % 97 == 5 else float(v)) for k in ("a", "b", None) for i, v in enumerate(r[: 900 if k == "a" else 40])]
+    df = spark.createDataFrame(rows, "k string, t long, r double").repartition(5)
+    m = {"omega": 2e-6, "alpha": 0.1, "beta": beta, "backcast": 0.0, "sigma2_next": 3e-5}
+    for resume in (False, True):
+        want = {(x.k, x.t): x.v for x in recurrences.garch_filter(df, "r", KT, m, "v", resume).collect()}
+        for block in (1, 64, 10_000):
+            got = {(x.k, x.t): x.v for x in recurrences.garch_filter_blocked(df.where("k IS NOT NULL"), "r", KT, m, "v", resume, block).collect()}
+            assert got.keys() == {x for x in want if x[0]} and all(math.isclose(got[x], want[x], rel_tol=1e-12) for x in got)
+    pos = {(x.k, x.t): x.pos for x in recurrences.numbered(df, KT, parts=7).collect()}
+    assert pos == {(k, t): t for k, t, _ in rows}
