@@ -9,7 +9,9 @@ Numbers and rolling hashes are made in two levels, within chunks of CHUNK turn n
 conversation with very many turns is not one task's work. Nothing compares conversations in pairs.
 
 Defined results: turns of one number are ordered by role and text, nulls first; repeated rows are turns of
-their own; a null conv_id is a conversation; null roles and texts render as empty; empty table, empty result.
+their own; a null conv_id is a conversation; null roles and texts render as empty; empty table, empty result; very long texts
+are rendered whole; only the four columns are read, so others may have any name. Turns of a conversation that share a number
+(or have none) are ordered by one task.
 """
 
 from __future__ import annotations

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..contract import shared_dir, ship_code
+
+__all__ = ["drop_paths", "drop_written", "documents", "fresh", "shared_dir", "ship_code", "words", "written"]
+
 #: Words are runs of anything but these six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Paths of the tables that this process has written and not dropped.
@@ -17,18 +18,6 @@ MADE: list[str] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one if unset.
-
-    The fallback is only for local sessions (tests); a cluster names its folder in the setting.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="foldcast-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts lineage, survives executors.
 
@@ -65,13 +54,6 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
         MADE.remove(path)
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-
-
 def words(text: Column) -> Column:
     """Words of a text, in order; none for null or blank texts."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -8,12 +8,13 @@ falls in bucket ceil(log_gamma v), small values in bucket ZERO, and two sketches
 So one group-by builds the sketches of all groups, and coarser ones are sums of finer ones. Nothing
 about it is random: a lost executor's work comes out the same again.
 
-A fence is Q75 + FAR * max(Q75 - Q25, least spread). A group with fewer than MIN_DOCS documents takes the
-sketch of its language, and a small language that of the corpus.
+A fence is Q75 + FAR * max(Q75 - Q25, least spread). The fence of a language and source is blended with that of the
+language, as if SHRINK more documents had it, and a language's with the corpus's: small groups lean on wider ones,
+and no size makes a verdict jump.
 
 Defined results: null or empty texts have no words and fail the base rules; null languages and sources
-are groups of their own; repeated rows each get a row; an empty table gives an empty result. Columns that
-this operator adds replace input columns of the same name.
+are groups of their own; repeated rows each get a row; an empty table gives an empty result; a very long text is counted
+whole, in one row's arrays. Columns that this operator adds replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import documents, words, written
 GAMMA = 1.05
 ZERO = -1000
 SMALLEST = 1e-6
-MIN_DOCS = 100
+SHRINK = 20
 FAR = 3.0
 #: Ratio -> (numerator, least spread of its fence).
 RATIOS = {"r_symbols": ("n_symbols", 0.05), "r_repeat": ("n_repeat_words", 0.1), "r_dup": ("n_dup_lines", 0.05), "r_length": ("word_chars", 1.5), "r_stutter": ("n_stutter", 0.1)}
@@ -109,7 +110,8 @@ def fences(sketch: DataFrame) -> DataFrame:
     names = [f"f_{r}" for r in RATIOS]
     own, lang, all_ = at(0), at(1), at(2)
     joined = own.join(lang, F.col("l0.lang").eqNullSafe(F.col("l1.lang"))).join(F.broadcast(all_.limit(1)), F.lit(True))
-    pick = lambda n: F.when(F.col("l0.docs") >= MIN_DOCS, F.col(f"l0.{n}")).when(F.col("l1.docs") >= MIN_DOCS, F.col(f"l1.{n}")).otherwise(F.col(f"l2.{n}"))
+    blend = lambda k, n, wider: (F.col(f"l{k}.docs") * F.col(f"l{k}.{n}") + SHRINK * wider) / (F.col(f"l{k}.docs") + SHRINK)
+    pick = lambda n: blend(0, n, blend(1, n, F.col(f"l2.{n}")))
     return joined.select(F.col("l0.lang").alias("_lang"), F.col("l0.source").alias("_source"), *[pick(n).alias(n) for n in names])
 
 
@@ -140,7 +142,7 @@ def _oracle() -> str:
     each = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, {c}::DOUBLE / n_words AS v FROM counts WHERE n_words > 0" for r, (c, _) in ratios)
     level = lambda a, b, k: f"SELECT {k} AS level, {a} AS lang, {b} AS source, ratio, bucket, count(*) AS n FROM buckets GROUP BY ALL"
     least = "CASE ratio " + " ".join(f"WHEN '{r}' THEN {s}" for r, (_, s) in ratios) + " END"
-    pick = lambda r: f"(SELECT fence FROM fences f WHERE f.ratio = '{r}' AND f.docs >= CASE f.level WHEN 2 THEN 0 ELSE {MIN_DOCS} END AND (f.level = 2 OR f.lang IS NOT DISTINCT FROM c.lang) AND (f.level > 0 OR f.source IS NOT DISTINCT FROM c.source) ORDER BY f.level LIMIT 1)"
+    pick = lambda r: f"(SELECT fence FROM blended f WHERE f.ratio = '{r}' AND f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source)"
     over = " OR ".join(f"coalesce(CASE WHEN n_words > 0 THEN {c}::DOUBLE / n_words END > {pick(r)}, false)" for r, (c, _) in ratios)
     return rf"""
 WITH d AS (
@@ -172,6 +174,10 @@ WITH d AS (
   SELECT *, CASE WHEN b1 = {ZERO} THEN 0 ELSE 2 * pow({GAMMA}, b1) / {GAMMA + 1} END AS q1, CASE WHEN b3 = {ZERO} THEN 0 ELSE 2 * pow({GAMMA}, b3) / {GAMMA + 1} END AS q3 FROM quartiles
 ), fences AS (
   SELECT *, q3 + {FAR} * greatest(q3 - q1, {least}) AS fence FROM q
+), of_language AS (
+  SELECT a.lang, a.ratio, (a.docs * a.fence + {SHRINK} * b.fence) / (a.docs + {SHRINK}) AS fence FROM fences a JOIN fences b ON b.ratio = a.ratio AND b.level = 2 WHERE a.level = 1
+), blended AS (
+  SELECT a.lang, a.source, a.ratio, (a.docs * a.fence + {SHRINK} * b.fence) / (a.docs + {SHRINK}) AS fence FROM fences a JOIN of_language b ON b.ratio = a.ratio AND b.lang IS NOT DISTINCT FROM a.lang WHERE a.level = 0
 ), failed AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
 )

@@ -94,6 +94,12 @@ def test_links_of_random_and_chained_prints(spark, limit):
             assert (want[a] == want[b]) == (group.get(a, a) == group.get(b, b))
 
 
+def test_empty_tables(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert simhash.op5_simhash(spark, str(tmp_path)).count() == 0 and bpe.op6_bpe(spark, str(tmp_path)).count() == 0
+    assert simhash.deduplicated(empty).count() == 0
+
+
 def test_masks_cover_the_radius():
     rng = np.random.default_rng(1)
     m = [x % 2**64 for x in simhash.masks()]

@@ -59,6 +59,18 @@ def test_quality_fences_adapt(spark):
     assert not got[5000] and not got[5001]  # and not in the other
 
 
+def test_no_group_size_makes_a_verdict_jump(spark):
+    """A style that one source has: its fence moves a little with each document, from the language's to its own."""
+    text = lambda i, s: " ".join(f"word{(i * 7 + k) % 50}{s}" for k in range(40))
+    rest = [(i, text(i, ""), "en", "plain") for i in range(400)]
+    at = []
+    for n in (5, 99, 100, 400):
+        rows = rest + [(1000 + i, text(i, "#" if i % 2 else ""), "en", "code") for i in range(n)]
+        fences = quality.fences(quality.sketches(quality.with_ratios(quality.text_counts(docs(spark, rows)))))
+        at.append({r._source: r.f_r_symbols for r in fences.collect()}["code"])
+    assert abs(at[2] - at[1]) < 0.05 * at[3] and at[0] < at[3]
+
+
 def test_quality_sketches_merge(spark, odd):
     a, b = odd.where("doc_id % 2 = 0"), odd.where("NOT coalesce(doc_id % 2 = 0, false)")
     made = lambda d: quality.sketches(quality.with_ratios(quality.text_counts(d)))
