@@ -1,9 +1,9 @@
 """Approximate nearest neighbours with a permutation index.
 
 Every vector is represented by its DEPTH nearest pivots in order (Chavez, Figueroa, Navarro 2008) and posted in the
-inverted file of each of them, by id and rank (Amato, Savino 2008). A query looks only into the files of its own DEPTH
-nearest pivots; each posting there takes the two ranks' difference off the footrule distance (a pivot that isn't shared
-counts DEPTH). The RERANK * sqrt(n) vectors of least distance, and no others, are reranked by inner product in
+inverted file of each of them, by id and rank (Amato, Savino 2008). A query looks only into the files of its own ASKED
+nearest pivots, over which the footrule distance is taken: a posting there counts the two ranks' difference, a pivot that isn't
+shared DEPTH. The RERANK * sqrt(n) vectors of least distance, and no others, are reranked by inner product in
 double precision.
 
 Pivots are a sample of vectors (those with the least hashes of their id), about the root of n, from LEAST_PIVOTS
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import ship_code, written
 
 LEAST_PIVOTS, MOST_PIVOTS = 512, 4096
-DEPTH = 128
+DEPTH, ASKED = 128, 64
 RERANK = 12
 PART = 8192
 K = 20
@@ -109,7 +109,7 @@ def searched(rows: DataFrame, pivots: int, share: float, k: int) -> DataFrame:
         kind, cid, v, o = kind[order], cid[order], v[order], o[order]
         if kind.any() and not kind.all():
             most = max(k + 1, math.ceil(share * int((~kind).sum())))
-            i, j, s = search_part(v[kind], o[kind], v[~kind], o[~kind], pivots, most, k)
+            i, j, s = search_part(v[kind], o[kind][:, :ASKED], v[~kind], o[~kind], pivots, most, k)
         return pa.RecordBatch.from_arrays([pa.array(cid[kind][i], pa.int64()), pa.array(cid[~kind][j], pa.int64()), pa.array(s, pa.float64())], names=["qid", "cid", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -225,12 +225,12 @@ def plain_footrule(a, b, depth):
 def test_only_the_nearest_by_footrule_are_reranked(most):
     rng = np.random.default_rng(8)
     v, q, pivots = rng.normal(size=(90, 6)), rng.normal(size=(5, 6)), rng.normal(size=(40, 6))
-    vo, qo = ann.orders(v, pivots, 12), ann.orders(q, pivots, 12)
+    vo, qo = ann.orders(v, pivots, 12), ann.orders(q, pivots, 7)
     i, j, s = ann.search_part(q, qo, v, vo, 40, most, 4)
     files = ann.Files(vo, 40)
     for x in range(5):
         far = [plain_footrule(qo[x].tolist(), o.tolist(), 12) for o in vo]
-        assert (12 * 12 - files.nearness(qo[x])).tolist() == far
+        assert (7 * 12 - files.nearness(qo[x])).tolist() == far
         some = sorted(range(90), key=lambda r: (far[r], r))[:most]
         want = sorted((-float(q[x] @ v[r]), r) for r in some)[:5]
         assert j[i == x].tolist() == [r for _, r in want] and np.allclose(-s[i == x], [t for t, _ in want])
@@ -242,7 +242,7 @@ def test_recall_where_the_footrule_cuts():
         v = rng.normal(size=(n, 64))
         v /= np.linalg.norm(v, axis=1, keepdims=True)
         pivots, q = v[:512], v[-20:]
-        i, j, _ = ann.search_part(q, ann.orders(q, pivots), v, ann.orders(v, pivots), 512, int(ann.RERANK * n**0.5), 20)
+        i, j, _ = ann.search_part(q, ann.orders(q, pivots, ann.ASKED), v, ann.orders(v, pivots), 512, int(ann.RERANK * n**0.5), 20)
         best = np.argsort(-(q @ v.T), axis=1)[:, :20]
         assert np.mean([len({*j[i == x][:20].tolist()} & {*best[x].tolist()}) / 20 for x in range(20)]) >= 0.9
 
