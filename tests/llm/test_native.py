@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from foldcast.llm import chat, lines, mixing, quality
+from foldcast.llm.common import drop_paths
 from foldcast.llm.registry import ORACLES, QUERIES
 
 from ..conftest import DATA, same_rows
@@ -126,6 +129,33 @@ def test_line_removal(spark):
     assert lines.without_lines(d).columns == d.columns
 
 
+def test_lines_are_counted_in_a_sample_and_verified_in_parts(spark):
+    level = lambda b: zlib.crc32(bytes([b])) >> 26
+    classes = spark.createDataFrame([(0, [5, 6]), (lines.SAMPLED, [5]), (1, [5, 7]), (2, [7, 8])], "s long, k array<long>")
+    levels = bytes(lines.rarity(classes).first()["levels"])
+    assert [level(levels[w - 1]) for w in (5, 6, 7, 8)] == [int(2 * math.log2(lines.SAMPLED * n + 1)) for n in (2, 1, 0, 0)]
+
+    sets = {s: set(range(10)) | {10 + s} if s < 6 else set(range(s, s + 9)) for s in range(12)}
+    rows = [(s, (100 - s, 0, 0), sorted(k)) for s, k in sets.items()]
+    classes = spark.createDataFrame(rows, "s long, at struct<_id: long, _th: long, line: int>, k array<long>")
+    pairs = spark.createDataFrame([(x, y) for x in sets for y in sets if x > y], "x long, y long")
+    later = lines.similar(classes, pairs)
+    assert len(later) == lines.PARTS > 1
+    want = {min(x, y) for x in sets for y in sets if x != y and 9 * len(sets[x] & sets[y]) >= 4 * (len(sets[x]) + len(sets[y]))}
+    assert want and {r.k for t in later for r in t.collect()} == want
+    drop_paths(spark, [t._foldcast_path for t in later])
+
+
+def test_blanks_of_lines(spark):
+    rows = [(1, "a b  c\td", "en", "a"), (2, "\x0ba\x0cb\rc d\n \t\r \nd c b a", "en", "a"), (3, "a\u00a0b c\u2003d", "en", "a"), (4, "\n a b c d e \n", "en", "a")]
+    got = {(r._id, tuple(sorted(r.kept))) for r in lines.kept_lines(docs(spark, rows)).collect()}
+    gone = plain_removed(rows)
+    want = {(i, tuple(k for k, x in enumerate(t.split("\n")) if WORD.search(x) and k not in gone[(i, t)])) for i, t, _, _ in rows}
+    assert got == {w for w in want if w[1]}
+    split = docs(spark, rows).select(lines.spaced(F.col("text")).alias("t")).collect()
+    assert [[[w for w in x.split(" ") if w] for x in r.t.split("\n")] for r in split] == [[WORD.findall(x) for x in t.split("\n")] for _, t, _, _ in rows]
+
+
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 3, 10, 1000):
         x = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n), F.lit(3), mixing.BLOCK_KEYS).alias("p"))
