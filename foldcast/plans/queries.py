@@ -475,7 +475,7 @@ def vol_target_strategy(spark, d):
 
 @query()
 def garch_fit_by_type(spark, d):
-    x = W.log_returns(tk(spark, d), "price", TK).where("r IS NOT NULL")
+    x = W.log_returns(tk(spark, d), "price", TK).where(S.is_finite("r"))
     m = fits.garch_fit(x, "r", TK)
     return m.select("key", r6("omega", "omega"), r6("alpha", "alpha"), r6("beta", "beta"), r6("loglik", "loglik"), "converged", "status")
 
