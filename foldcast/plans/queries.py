@@ -272,7 +272,7 @@ def vol_target_bad_inputs(spark, d):
 @query(f"WITH {TR_SQL} SELECT key, round(0.5 * avg(r) / var_samp(r), 6) AS kelly, 0 AS status FROM tr WHERE r IS NOT NULL GROUP BY key")
 def kelly_by_type(spark, d):
     x = W.log_returns(tk(spark, d), "price", TK).where("r IS NOT NULL")
-    return fits.kelly_fraction(x, "r", ["key"], 0.5).select("key", r6("kelly", "kelly"), "status")
+    return fits.kelly_fraction(x, "r", ["key"], 0.5, infinite=True).select("key", r6("kelly", "kelly"), "status")
 
 
 @query(f"WITH {PX_SQL}, p AS (SELECT d, close, max(close) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS peak FROM px) SELECT d, round(greatest(0, least(1, 1 - (1 - close / peak) / 0.5)), 6) AS scale FROM p")

@@ -40,3 +40,10 @@ def test_log_returns_of_a_total_loss(spark, zeros):
     got = {r.event_id: r.r for r in QUERIES["log_returns"](spark, d).collect()}
     assert got[0] is None and got[1] == -math.inf and got[2] == math.inf and math.isnan(got[12])
     same_values(QUERIES["log_returns"](spark, d), sql("log_returns"))
+
+
+def test_kelly_of_a_total_loss(spark, zeros):
+    d, sql = zeros
+    got = {r.key: r.kelly for r in QUERIES["kelly_by_type"](spark, d).collect()}
+    assert math.isnan(got["a"]) and math.isnan(got["b"]) and math.isfinite(got["c"])
+    same_values(QUERIES["kelly_by_type"](spark, d), sql("kelly_by_type"))
