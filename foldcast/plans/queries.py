@@ -405,7 +405,7 @@ def fold_standardised(spark, d):
 @query(f"WITH {TR_SQL}, x AS (SELECT key, ts, event_id, coalesce(r, 0) / 100 AS r FROM tr), e AS (SELECT *, product(1 + r) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS e FROM x), p AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS p FROM e) SELECT key, round(avg(r) * 252, 6) AS annual_return, round(stddev_samp(r) * sqrt(252), 6) AS annual_vol, round(min(e / p - 1), 6) AS max_drawdown, round(avg(r) * 252 / (stddev_samp(r) * sqrt(252)), 6) AS sharpe, count(*) AS n FROM p GROUP BY key")
 def strategy_summary(spark, d):
     x = W.log_returns(tk(spark, d), "price", TK).withColumn("r", F.col("r") / 100)
-    return fits.strategy_summary(x, "r", TK).select("key", *[r6(c, c) for c in ("annual_return", "annual_vol", "max_drawdown", "sharpe")], "n")
+    return fits.strategy_summary(x, "r", TK, infinite=True).select("key", *[r6(c, c) for c in ("annual_return", "annual_vol", "max_drawdown", "sharpe")], "n")
 
 
 @query(f"WITH {PR_SQL}, x AS (SELECT d, coalesce(r, 0) / 1000 AS r FROM pr), e AS (SELECT d, product(1 + r) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS equity FROM x) SELECT d, round(equity, 6) AS equity, round(max(equity) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING), 6) AS peak FROM e")

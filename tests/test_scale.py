@@ -47,3 +47,10 @@ def test_kelly_of_a_total_loss(spark, zeros):
     got = {r.key: r.kelly for r in QUERIES["kelly_by_type"](spark, d).collect()}
     assert math.isnan(got["a"]) and math.isnan(got["b"]) and math.isfinite(got["c"])
     same_values(QUERIES["kelly_by_type"](spark, d), sql("kelly_by_type"))
+
+
+def test_summary_of_a_total_loss(spark, zeros):
+    d, sql = zeros
+    got = {r.key: r.max_drawdown for r in QUERIES["strategy_summary"](spark, d).collect()}
+    assert got["a"] == -math.inf and math.isfinite(got["c"])
+    same_values(QUERIES["strategy_summary"](spark, d), sql("strategy_summary"))
