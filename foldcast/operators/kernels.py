@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 
@@ -189,10 +190,34 @@ def garch_fit(returns: np.ndarray) -> dict:
     return {"omega": omega, "alpha": alpha, "beta": beta, "sigma2_next": s2, "loglik": -v, "converged": bool(done), "backcast": backcast}
 
 
-def ridge_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The triangular factor of [x | y]: all that a least-squares fit needs of these rows."""
-    a = np.column_stack([x, y])
-    return np.linalg.qr(a, mode="r") if len(a) else np.zeros((0, a.shape[1]))
+class RidgeState(NamedTuple):
+    """All that a least-squares fit needs of rows [x | y]: how many, one of them as their level, the means of their offsets from it,
+    and a triangular factor of the centred rows (or these themselves, where they are no more)."""
+
+    n: int
+    level: np.ndarray
+    mean: np.ndarray
+    r: np.ndarray
+
+
+def _factor(a: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(a, mode="r") if len(a) > a.shape[1] else a
+
+
+def ridge_state(a: np.ndarray) -> RidgeState:
+    """The state of finite rows [x | y], one at least."""
+    with np.errstate(all="ignore"):
+        off = a - a[0]  # offsets first: a large level costs no digits
+        mean = off.mean(axis=0)
+        return RidgeState(len(a), a[0].copy(), mean, _factor(off - mean))
+
+
+def ridge_merge(s: RidgeState, t: RidgeState) -> RidgeState:
+    """The state of the rows of both: their factors, and a row for what their means differ by."""
+    n = s.n + t.n
+    with np.errstate(all="ignore"):
+        gap = (t.level - s.level) + (t.mean - s.mean)
+        return RidgeState(n, s.level, s.mean + gap * (t.n / n), _factor(np.vstack([s.r, t.r, math.sqrt(s.n / n * t.n) * gap])))
 
 
 def ridge_solve(r: np.ndarray, ridge: float, n: int) -> np.ndarray:
@@ -216,26 +241,30 @@ def ridge_solve(r: np.ndarray, ridge: float, n: int) -> np.ndarray:
     return w
 
 
-def ridge_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.0) -> tuple[np.ndarray, float]:
+def ridge_finish(s: RidgeState, ridge: float) -> tuple[np.ndarray, float]:
     """Coefficients and intercept of a ridge regression whose intercept is not penalized."""
-    x, y = np.asarray(x, float), np.asarray(y, float)
-    if not len(x) or not x.shape[1]:
-        raise ValueError("a fit needs rows and columns")
-    if not (np.isfinite(x).all() and np.isfinite(y).all()):
-        raise ValueError("a fit needs finite values")
-    n, d = x.shape
-    if ridge == 0 and n <= d:
+    d = len(s.level) - 1
+    if ridge == 0 and s.n <= d:
         raise DomainError("too few rows for a fit without ridge")
     with np.errstate(all="ignore"):
-        dx, dy = x - x[0], y - y[0]  # offsets first: a large level costs no digits
-        mx, my = dx.mean(axis=0), dy.mean()
-        w = ridge_solve(ridge_rows(dx - mx, dy - my), ridge, n)
-        b = float((y[0] + my) - ((x[0] + mx) * w).sum())
+        w = ridge_solve(s.r, ridge, s.n)
+        at = s.level + s.mean
+        b = float(at[d] - (at[:d] * w).sum())
     if not math.isfinite(b):
         raise DomainError("the intercept is not finite")
     return w, b
 
 
+def ridge_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.0) -> tuple[np.ndarray, float]:
+    """The ridge regression of rows held at once."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    if not len(x) or not x.shape[1]:
+        raise ValueError("a fit needs rows and columns")
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        raise ValueError("a fit needs finite values")
+    return ridge_finish(ridge_state(np.column_stack([x, y])), ridge)
+
+
 def kelly(returns: np.ndarray, fraction: float) -> float:
     """fraction * mean / sample variance."""
     if len(returns) < 2 or not np.isfinite(returns).all():

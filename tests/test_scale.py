@@ -5,8 +5,12 @@ from __future__ import annotations
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from foldcast.operators import fits
+from foldcast.operators import kernels as K
 from foldcast.plans.queries import ORACLES, QUERIES
 
 
@@ -54,3 +58,34 @@ def test_summary_of_a_total_loss(spark, zeros):
     got = {r.key: r.max_drawdown for r in QUERIES["strategy_summary"](spark, d).collect()}
     assert got["a"] == -math.inf and math.isfinite(got["c"])
     same_values(QUERIES["strategy_summary"](spark, d), sql("strategy_summary"))
+
+
+def test_no_task_gathers_a_group_of_a_ridge_fit(spark):
+    """A fit over many tasks and batches has the coefficients of one over all rows, and what meets by key are states, not rows."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(9000, 2)) + [1e9, -3.0]
+    y = x @ [0.5, -2.0] + rng.normal(size=9000)
+    keys = [None, "a", "b"]
+    rows = [(keys[i % 3], float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))] + [("gap", 1.0, None, 1.0), ("gap", 1.0, 2.0, 3.0), ("short", 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double").repartition(7)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        states = fits.ridge_states(df, ["a", "b", "y"], ["k"])
+        assert states.count() <= 7 * 5 and states.agg(F.max(F.size("_r"))).first()[0] <= 9
+        got = {r.k: r for r in fits.ridge_fit(df, ["a", "b"], "y", ["k"], []).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert {k: r.status for k, r in got.items()} == {None: 0, "a": 0, "b": 0, "gap": 1, "short": 4}
+    for i, k in enumerate(keys):
+        w, b = K.ridge_fit(x[i::3], y[i::3])
+        assert np.allclose(got[k].coef, w, rtol=1e-11) and math.isclose(got[k].intercept, b, rel_tol=1e-9)
+
+
+def test_states_are_handed_on(spark, monkeypatch):
+    monkeypatch.setattr(fits, "HELD", 2)
+    df = spark.range(0, 60, 1, 1).selectExpr("id % 6 AS k", "cast(id AS double) AS a", "2D * id + 1 AS y")
+    got = {r.k: (r.status, round(r.coef[0], 9), round(r.intercept, 9)) for r in fits.ridge_fit(df, ["a"], "y", ["k"], []).collect()}
+    assert got == dict.fromkeys(range(6), (0, 2.0, 1.0))
+    one = fits.ridge_fit(df, ["a"], "y", [], []).collect()
+    assert len(one) == 1 and math.isclose(one[0].coef[0], 2.0, rel_tol=1e-12)
