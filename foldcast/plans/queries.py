@@ -342,7 +342,7 @@ def leak_count(spark, d):
 
 @query("SELECT l_returnflag, round(regr_sxy(l_extendedprice, l_quantity) / (regr_sxx(l_extendedprice, l_quantity) + 10), 6) AS slope, round(avg(l_extendedprice) - regr_sxy(l_extendedprice, l_quantity) / (regr_sxx(l_extendedprice, l_quantity) + 10) * avg(l_quantity), 4) AS intercept, 0 AS status FROM lineitem GROUP BY 1")
 def ridge_1d(spark, d):
-    m = fits.ridge_fit(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_extendedprice"], 10.0)
+    m = fits.ridge_fit(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", ["l_returnflag"], [], 10.0)
     return m.select("l_returnflag", r6(F.col("coef")[0], "slope"), F.round("intercept", 4).alias("intercept"), "status")
 
 

@@ -13,6 +13,8 @@ from foldcast.operators import fits
 from foldcast.operators import kernels as K
 from foldcast.plans.queries import ORACLES, QUERIES
 
+from .conftest import DATA
+
 
 @pytest.fixture(scope="module")
 def zeros(spark, tmp_path_factory):
@@ -89,3 +91,8 @@ def test_states_are_handed_on(spark, monkeypatch):
     assert got == dict.fromkeys(range(6), (0, 2.0, 1.0))
     one = fits.ridge_fit(df, ["a"], "y", [], []).collect()
     assert len(one) == 1 and math.isclose(one[0].coef[0], 2.0, rel_tol=1e-12)
+
+
+def test_rows_of_ridge_1d_are_not_shuffled(spark):
+    plan = QUERIES["ridge_1d"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapGroupsInArrow") < plan.index("Exchange") < plan.index("MapInArrow") and plan.count("Exchange") == 1
