@@ -7,7 +7,7 @@ The recurrences that promise equal bits (EWMA, GARCH filter) run in order, one s
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -69,17 +69,23 @@ def garch_forecast(omega: float, alpha: float, beta: float, s2: float, horizon:
     return np.sqrt(steps)
 
 
+def parts(x: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Views of so many elements at most, in order."""
+    return (x[i : i + size] for i in range(0, len(x), size))
+
+
 class Likelihood:
     """Gaussian negative log-likelihood of GARCH(1,1) on finite returns, without its constant.
 
     The variance is a first-order linear recurrence in beta. Within blocks of SIDE it is a product with the lower
-    triangular matrix of powers of beta; the values at block ends are a recurrence of the same form.
+    triangular matrix of powers of beta; the values at block ends are a recurrence of the same form. PART returns are
+    evaluated at a time, so that a long series needs little memory besides the returns themselves.
     """
 
-    SIDE = 64
+    SIDE, PART = 64, 2**18
 
     def __init__(self, returns: np.ndarray, backcast: float):
-        self.r2 = returns * returns
+        self.returns = returns
         self.backcast = backcast
         i = np.arange(self.SIDE)
         self.gap = i[:, None] - i[None, :]
@@ -105,11 +111,15 @@ class Likelihood:
         omega, alpha, beta = float(p[0]), float(p[1]), float(p[2])
         if not (0 < omega < INF and alpha >= 0 and beta >= 0 and alpha + beta < GARCH_MAX_PERSISTENCE):
             return INF
-        u = np.empty_like(self.r2)
-        u[1:] = omega + alpha * self.r2[:-1]
-        s2 = self.scan(u, beta, garch_seed(omega, alpha, beta, self.backcast))
+        out, first = 0.0, garch_seed(omega, alpha, beta, self.backcast)
         with np.errstate(all="ignore"):
-            out = 0.5 * float((np.log(s2) + self.r2 / s2).sum())
+            for x in parts(self.returns, self.PART):
+                r2 = x * x
+                u = np.empty_like(r2)
+                u[1:] = omega + alpha * r2[:-1]
+                s2 = self.scan(u, beta, first)
+                out += 0.5 * float((np.log(s2) + r2 / s2).sum())
+                first = omega + alpha * float(r2[-1]) + beta * float(s2[-1])
         return out if out < INF else INF
 
 
@@ -163,7 +173,8 @@ def garch_fit(returns: np.ndarray) -> dict:
     if not np.isfinite(x).all():
         raise ValueError("a fit needs finite returns")
     with np.errstate(over="ignore"):
-        backcast = float((x * x).mean())
+        squares = [float((p * p).mean()) * (len(p) / len(x)) for p in parts(x, Likelihood.PART)]
+    backcast = sum(squares)
     if not SMALLEST_NORMAL <= backcast < INF:
         raise DomainError("the returns have no usable variance")
     f, scale = Likelihood(x, backcast), np.array([backcast, 1.0, 1.0])
@@ -186,7 +197,9 @@ def garch_fit(returns: np.ndarray) -> dict:
         raise DomainError("no start has a finite likelihood")
     v, (omega, alpha, beta), done = found
     omega, alpha, beta = float(omega), float(alpha), float(beta)
-    _, s2 = garch_filter(x, omega, alpha, beta, garch_seed(omega, alpha, beta, backcast))
+    s2 = garch_seed(omega, alpha, beta, backcast)
+    for p in parts(x, Likelihood.PART):
+        _, s2 = garch_filter(p, omega, alpha, beta, s2)
     return {"omega": omega, "alpha": alpha, "beta": beta, "sigma2_next": s2, "loglik": -v, "converged": bool(done), "backcast": backcast}
 
 

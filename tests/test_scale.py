@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldcast.contract import SeriesSpec
 from foldcast.operators import fits
 from foldcast.operators import kernels as K
 from foldcast.plans.queries import ORACLES, QUERIES
+from foldcast.sources.simulate import garch_path
 
 from .conftest import DATA
 
@@ -96,3 +99,39 @@ def test_states_are_handed_on(spark, monkeypatch):
 def test_rows_of_ridge_1d_are_not_shuffled(spark):
     plan = QUERIES["ridge_1d"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("FlatMapGroupsInArrow") < plan.index("Exchange") < plan.index("MapInArrow") and plan.count("Exchange") == 1
+
+
+def test_fits_of_long_series_hold_little_besides_the_returns(monkeypatch):
+    x = np.random.default_rng(5).normal(scale=0.01, size=2_000_000)
+    f, p = K.Likelihood(x, 1e-4), np.array([1e-6, 0.05, 0.9])
+    tracemalloc.start()
+    whole = f(p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * x.nbytes
+    monkeypatch.setattr(K.Likelihood, "PART", 10**9)
+    assert math.isclose(K.Likelihood(x, 1e-4)(p), whole, rel_tol=1e-12)
+    r = garch_path(12345, 2000, 2e-6, 0.10, 0.85)
+    want = K.garch_fit(r)
+    monkeypatch.setattr(K.Likelihood, "PART", 300)
+    got = K.garch_fit(r)
+    assert all(math.isclose(got[k], v, rel_tol=1e-5) for k, v in want.items())
+
+
+def test_garch_fit_reads_series_in_order(spark):
+    """Rows dealt out at random, in many batches: the fits are those of the ordered series, bit for bit."""
+    series = {k: garch_path(s, 1500, 5e-6, 0.05, 0.93) for s, k in ((777, "a"), (3, None), (4, "c"))}
+    rows = [(k, i // 2, i if i % 2 else None, float(v)) for k, r in series.items() for i, v in enumerate(r)]
+    df = spark.createDataFrame(rows, "k string, t long, u long, r double").orderBy(F.rand(1)).repartition(6)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
+    try:
+        m = fits.garch_fit(df, "r", SeriesSpec.of("k", ["t", "u"]))
+        got = {x.k: x for x in m.collect()}
+        plan = m._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert plan.count("Sort [") == 2  # of the two plans printed (final, initial): no second sort that could undo the first
+    for k, r in series.items():
+        want = K.garch_fit(r)
+        assert all(got[k][n] == v for n, v in want.items()), k
